@@ -6,6 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from shelfmark.operators.nested import flatten_payloads
+from shelfmark.plans.runtime import spread, table
+
 SQL: dict[str, str] = {}
 FLAGSHIP = "i2i_eval"
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return flatten_payloads(spread(table(spark, d, "product_payloads").select("record_id", "payload")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found}
