@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm import glyphs
+from shelfmark.llm import canonical, glyphs
 from shelfmark.plans.runtime import spread, table
 
 SQL: dict[str, str] = {}
@@ -25,4 +26,17 @@ def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     return _looks(spark, d).select("idx", "field", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = spread(table(spark, d, "products").select("idx", "subcategory", "brand"))
+    kinds, makers = table(spark, d, "subcategory_queries"), table(spark, d, "brand_list")
+    entry = F.col("canonical_subcategory").alias("entry")
+    names = kinds.select(F.explode(F.concat(F.array("canonical_subcategory", "key", "slug_text", "query_text"), F.coalesce("known_names", F.array().cast("array<string>")))).alias("name"), entry)
+    # A few wider classes, each with at least one entry of the fixed list.
+    families = [r[0] for r in kinds.select(F.explode(F.array("category", "category_slug"))).distinct().collect() if r[0]]
+    brands = makers.select(F.explode(F.array("canonical_brand", "name_zh")).alias("name"), F.col("canonical_brand").alias("entry"))
+    return canonical.canonical_values(rows, "idx", "subcategory", names, kinds.select(entry), families, parts=True).unionByName(
+        canonical.canonical_values(rows, "idx", "brand", brands, makers.select(F.col("canonical_brand").alias("entry")), [], parts=False)
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found)}
