@@ -91,10 +91,9 @@ _NOISE = re.compile(r"[\W_]+")
 def plain(value: str) -> str:
     """Lower case in one form of characters, signs for trademarks dropped, look-alike letters as Latin ones."""
     text = re.sub("[®™©℠]", "", fold(value) or "")
-    text = unicodedata.normalize("NFKC", text).casefold()
     if re.search("[Ͱ-ϿЀ-ԯ]", text):
-        text = "".join(latin(t) or t for t in re.split(r"(\W+)", text)).casefold()
-    return text.strip()
+        text = "".join(latin(t) or t for t in re.split(r"(\W+)", text))
+    return unicodedata.normalize("NFKC", text).casefold().strip()
 
 
 def squeezed(text: str) -> str:
@@ -105,11 +104,12 @@ def is_han(text: str) -> bool:
     return bool(re.search(f"[{_HAN}]", text))
 
 
-def radius(text: str) -> int:
-    """Edits allowed: none in words too short to bear one."""
+def radius(text: str, parts: bool) -> int:
+    """Edits allowed: none in words too short to bear one, nor in proper names of a few Han characters,
+    where another character or another order is another name."""
     n = len(text)
     if is_han(text):
-        return 0 if n < 3 else 1 if n < 5 else 2
+        return 0 if n < 3 or not parts and n < 5 else 1 if n < 5 else 2
     return 0 if n < 4 else 1 if n < 8 else 2
 
 
@@ -162,7 +162,7 @@ class Matcher:
     def one(self, text: str) -> list[tuple[float, str]]:
         """Costs and entries of a piece of a value."""
         out = []
-        if hit := self.near(text, radius(text)):
+        if hit := self.near(text, radius(text, self.parts)):
             out.append(hit)
         if is_han(text) and not (out and out[0][0] == 0):
             if hit := self.inside(text):
@@ -187,7 +187,7 @@ class Matcher:
         pieces = [p for p in _BREAK.split(text) if squeezed(p)]
         tried: list[tuple[float, str]] = []
         whole = squeezed(text)
-        if whole and not is_han(whole) and (hit := self.near(whole, radius(whole))):
+        if whole and not is_han(whole) and (hit := self.near(whole, radius(whole, self.parts))):
             return hit[1]
         for p in pieces:
             for run in _RUNS.findall(p):
@@ -195,7 +195,7 @@ class Matcher:
                 for w in dict.fromkeys(map(squeezed, words)):
                     if w and w not in self.families:
                         tried += self.one(w)
-            if is_han(p) and (w := squeezed(p)) not in self.families and (hit := self.near(w, radius(w))):
+            if is_han(p) and (w := squeezed(p)) not in self.families and (hit := self.near(w, radius(w, self.parts))):
                 tried.append(hit)
             for w in re.split(r"[\s\-]+", p):
                 if is_han(w) and (s := squeezed(w)) and s not in self.families:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import canonical, glyphs
+from shelfmark.llm import canonical, glyphs, listings
 from shelfmark.plans.runtime import spread, table
 
 SQL: dict[str, str] = {}
@@ -39,4 +39,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found)}
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    makers = table(spark, d, "brand_list").select(F.explode(F.array("canonical_brand", "name_zh")).alias("name"), F.col("canonical_brand").alias("entry"))
+    return listings.product_groups(spread(table(spark, d, "products").select("idx", "title", "description", "parameters", "brand")), makers)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return listings.same_product_pairs(_groups(spark, d))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every listing with its group."""
+    return _groups(spark, d)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p4_found, p4_groups)}
