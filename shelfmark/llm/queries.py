@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import canonical, glyphs, listings
+from shelfmark.llm import canonical, glyphs, listings, pieces, tokens
 from shelfmark.plans.runtime import spread, table
 
 SQL: dict[str, str] = {}
@@ -53,4 +53,12 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return _groups(spark, d)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p4_found, p4_groups)}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(spread(table(spark, d, "documents").select("doc_id", "text")))
+
+
+def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(spread(table(spark, d, "documents").select("doc_id", "text")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p4_found, p4_groups, p6_ids, p8_pieces)}
