@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import canonical, glyphs, listings, pieces, tokens
+from shelfmark.llm import canonical, glyphs, leaks, listings, pieces, tokens
 from shelfmark.plans.runtime import spread, table
 
 SQL: dict[str, str] = {}
@@ -57,8 +57,17 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that are left when those with leaks are removed."""
+    return leaks.without_leaks(table(spark, d, "documents"), p7_found(spark, d)).select("doc_id", "source")
+
+
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p4_found, p4_groups, p6_ids, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p4_found, p4_groups, p6_ids, p7_found, p7_clean, p8_pieces)}
