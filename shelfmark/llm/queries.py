@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import canonical, glyphs, leaks, listings, pieces, tokens
+from shelfmark.llm import canonical, glyphs, leaks, listings, pieces, templates, tokens
 from shelfmark.plans.runtime import spread, table
 
 SQL: dict[str, str] = {}
@@ -53,6 +53,10 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return _groups(spark, d)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return templates.article_lines(spread(table(spark, d, "web_retrieval_results").select("result_id", "url", "title", "reader_content_preview")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(spread(table(spark, d, "documents").select("doc_id", "text")))
 
@@ -70,4 +74,4 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p4_found, p4_groups, p6_ids, p7_found, p7_clean, p8_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p4_found, p4_groups, p5_found, p6_ids, p7_found, p7_clean, p8_pieces)}
