@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import display_name, percent
@@ -40,7 +40,9 @@ def order_by_list(column: Column, names: tuple[str, ...], *, strict: bool) -> Co
 
 
 def in_benchmark_order(rows: DataFrame) -> DataFrame:
-    return rows.orderBy(order_by_list(F.col("input_language"), BENCHMARK_LANGUAGES, strict=True), order_by_list(F.col("model_name"), MODEL_ORDER, strict=True))
+    """The rows of a report in order, with their ``place`` from 1: a few rows, one for each model and language."""
+    at = Window.orderBy(order_by_list(F.col("input_language"), BENCHMARK_LANGUAGES, strict=True), order_by_list(F.col("model_name"), MODEL_ORDER, strict=True))
+    return rows.withColumn("place", F.row_number().over(at)).orderBy("place")
 
 
 def with_sample_order(rows: DataFrame) -> DataFrame:

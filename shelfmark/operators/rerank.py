@@ -60,5 +60,5 @@ def case_rows(ranked: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame
     top = ranked.where(F.col("rank") <= k).groupBy("query_id").agg(ordered("rank", (*fields, "score")).alias("t"))
     rest = filtered_out(ranked, candidates, k).groupBy("query_id").agg(ordered("cand_rank", fields).alias("f"))
     names = {"product_id": "product_ids", "idx": "indices", "image_path": "image_paths", "document": "documents", "score": "scores"}
-    cells = [F.transform("t", lambda x, c=c: x[c]).alias(f"top5_{names[c]}") for c in (*fields, "score")] + [F.transform("f", lambda x, c=c: x[c]).alias(f"filtered_{names[c]}") for c in fields]
+    cells = [F.col(f"t.{c}").alias(f"top5_{names[c]}") for c in (*fields, "score")] + [F.col(f"f.{c}").alias(f"filtered_{names[c]}") for c in fields]
     return candidates.select("query_id").distinct().join(top, "query_id", "left").join(rest, "query_id", "left").select("query_id", *cells)

@@ -103,7 +103,7 @@ def predictions(rankings: DataFrame, qrels: DataFrame, products: DataFrame, k: i
     rows = judged(rankings.where(F.col("rank") <= k), qrels).join(products.select("idx", "image"), "idx")
     at = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "image", "score", "rel"))).alias("x"))
     cells = {"topk_image_paths": "image", "topk_scores": "score", "topk_correct_flags": "rel"}
-    return at.select("query_id", *[F.transform("x", lambda x, c=c: x[c]).alias(n) for n, c in cells.items()])
+    return at.select("query_id", *[F.col(f"x.{c}").alias(n) for n, c in cells.items()])
 
 
 def run_name(prefix: str, now: datetime | None = None) -> str:
