@@ -134,10 +134,8 @@ def encode(df: DataFrame, key: str, text: str, config: ModelConfig) -> DataFrame
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make(config)
         for s in parts:
-            out = pd.Series([None] * len(s), index=s.index, dtype=object)
-            known = s.notna()
-            out[known] = list(model.encode_texts(s[known].tolist(), config.text_batch_size))
-            yield out
+            vectors = iter(model.encode_texts(s[s.notna()].tolist(), config.text_batch_size))
+            yield pd.Series([next(vectors) if known else None for known in s.notna()], index=s.index, dtype=object)
         model.close()
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
