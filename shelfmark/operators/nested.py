@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.plans.runtime import bounded
+
 OPEN, CLOSE, COLON, COMMA, STRING, SCALAR, NODE = 1, 2, 3, 4, 5, 6, 7
 _SCALAR = re.compile(rb"-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
 
@@ -374,7 +376,8 @@ class Walk:
 
 
 def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    # The index takes some sixty bytes for each byte of text.
+    for batch in bounded(batches, 1, 1 << 20):
         ids = batch.column(0).to_pylist()
         forest = Forest([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()])
         out: list[tuple] = []

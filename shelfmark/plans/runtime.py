@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,3 +49,17 @@ def cut(df: DataFrame, *, eager: bool = True) -> DataFrame:
 def broadcastable(df: DataFrame, limit_rows: int) -> bool:
     """Whether ``df`` has at most ``limit_rows`` rows, counted without reading further than that."""
     return df.limit(limit_rows + 1).count() <= limit_rows
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose text in ``column`` is about ``limit`` bytes at most, one row at least.
+
+    A worker's memory then follows the limit, not how many rows Spark puts in a batch.
+    """
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+        cuts = np.flatnonzero(np.diff(part)) + 1
+        for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
+            yield b.slice(a, z - a)
