@@ -224,7 +224,9 @@ def match_values(values: DataFrame, names: DataFrame, families: list[str], *, pa
     entries equally close leave the value unmatched rather than decide by chance.
     """
     sc = values.sparkSession.sparkContext
-    distinct = values.where("value is not null").select("value").distinct()
+    # Few bytes but much work: the number of tasks is set by the cores, not left to the size of the shuffle.
+    tasks = max(2 * sc.defaultParallelism, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    distinct = values.where("value is not null").select("value").distinct().repartition(tasks)
     names = names.where("name is not null and entry is not null").select("name", "entry").distinct()
     shards = max(1, -(-names.count() // shard_forms))
     parts_out = []
