@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.plans.runtime import bounded
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the public rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -102,7 +104,7 @@ class Encoder:
 def _encoding(held, leaf: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(held.value, leaf=leaf)
-        for b in batches:
+        for b in bounded(batches, 1):
             texts = b.column(1).to_pylist()
             short = [t if t and len(t) <= leaf else "" for t in texts]
             ids = encoder.core.encode_ordinary_batch(short, num_threads=1)
