@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.plans.runtime import bounded
+
 #: Tokens in a row that make a leak.
 WORDS, CHARACTERS = 24, 40
-#: Tokens of a shard; a suffix array over so many takes some 100 MB.
-SHARD = 1_500_000
+#: Tokens of a shard; a suffix array over so many takes some 60 MB.
+SHARD = 600_000
 #: Characters of passages broadcast at once.
 BLOCK_CHARS = 8_000_000
 
@@ -206,7 +208,7 @@ def _searching(held, shard: int):
                 if size[mode] >= shard:
                     yield from flush(mode)
 
-        for b in batches:
+        for b in bounded(batches, 1):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
