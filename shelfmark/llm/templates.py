@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.plans.runtime import bounded
+
 #: Share of a host's pages on which an element must recur, over the hosts where it occurs at all.
 SHARE = 0.2
 #: Pages with other articles on which it must stand, and pages a host needs to be counted.
@@ -56,7 +58,7 @@ def shape(line: str, host: str) -> tuple[str, str | None]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in bounded(batches, 3, 1 << 20):
         rows = []
         for r in b.to_pylist():
             text, title = r["reader_content_preview"], heading(r["title"] or "")
