@@ -88,14 +88,14 @@ class SuffixArray:
         key = np.zeros(tokens.size, np.int64)
         for k in range(pack):
             nxt = np.zeros(tokens.size, np.int64)
-            nxt[: tokens.size - k] = tokens[k:] + 1
+            nxt[: max(0, tokens.size - k)] = tokens[k:] + 1
             key = (key << self.bits) | np.where(room > k, nxt, 0)
         self.pack = pack
         return key
 
     def paired(self, rank: np.ndarray, step: int, room: np.ndarray, base: int) -> np.ndarray:
         nxt = np.zeros(rank.size, np.int64)
-        nxt[: rank.size - step] = rank[step:]
+        nxt[: max(0, rank.size - step)] = rank[step:]
         return rank * base + np.where(room > step, nxt, 0)
 
     def intervals(self, tokens: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +114,7 @@ class SuffixArray:
             if have < self.depth:
                 # A start whose first half isn't in the array can't be; one whose second half isn't neither.
                 nxt = np.zeros(rank.size, np.int64)
-                nxt[: rank.size - step] = rank[step:]
+                nxt[: max(0, rank.size - step)] = rank[step:]
                 ok &= (rank > 0) & (nxt > 0)
                 key = self.paired(rank, step, room, keys.size + 1)
         starts = np.flatnonzero(ok & (rank > 0))
@@ -165,8 +165,8 @@ class Passages:
             run = self.agree(stream, t, p, min(a1 - t, b1 - p))
             after = self.agree(stream, t + run + 1, p + run + 1, min(a1 - t, b1 - p) - run - 1)
             before = self.agree(stream, t - 2, p - 2, min(t - a0, p - b0) - 1, -1)
-            may_after, may_before = min(a1 - t, b1 - p) > run, min(t - a0, p - b0) > 0
-            if max(run, run + 1 + after if may_after else 0, run + 1 + before if may_before else 0) >= self.need:
+            # A replaced token is part of the row only if the row goes on behind it.
+            if max(run, run + 1 + after if after else 0, run + 1 + before if before else 0) >= self.need:
                 found |= {(docs[d][0], i) for i in self.items[who]}
         return found
 
