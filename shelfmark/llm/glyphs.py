@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.plans.runtime import cut
+
 # Letters of the Cyrillic and Greek alphabets and the Latin letters of the same shape.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V",
@@ -111,7 +113,10 @@ def consistent(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     long = df.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("raw")) for c in columns])).alias("x")).select("key", "x.field", "x.raw")
     folded = long.withColumn("text", fold_col("raw"))
     words = lambda pattern: F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    suspects = folded.where(F.col("text").rlike(r"[\p{IsGreek}\p{IsCyrillic}]")).select("key", "field", F.explode(words(FOREIGN)).alias("word"))
+    foreign = F.col("text").rlike(r"[\p{IsGreek}\p{IsCyrillic}]")
+    # The few texts with a foreign letter are read several times below: folded once, written once.
+    mixed = cut(folded.where(foreign))
+    suspects = mixed.select("key", "field", F.explode(words(FOREIGN)).alias("word"))
     spelt = suspects.select("word").distinct().withColumn("candidate", latin_col("word")).where("candidate is not null")
     vocabulary = folded.select(F.explode(words(WORD)).alias("candidate")).where(~F.col("candidate").rlike(r"[\p{IsGreek}\p{IsCyrillic}]")).distinct().withColumn("known", F.lit(1))
     repairs = (
@@ -119,9 +124,8 @@ def consistent(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
         .join(vocabulary, "candidate", "left").where("known = 1 or n > 1").select(F.explode("all").alias("word"), "candidate")
     )
     per_row = suspects.join(repairs, "word").groupBy("key", "field").agg(F.map_from_entries(F.collect_list(F.struct("word", "candidate"))).alias("repairs"))
-    mixed = folded.where(F.col("text").rlike(r"[\p{IsGreek}\p{IsCyrillic}]")).join(per_row, ["key", "field"], "left")
-    plain = folded.where(F.col("text").isNull() | ~F.col("text").rlike(r"[\p{IsGreek}\p{IsCyrillic}]"))
-    return plain.unionByName(mixed.select("key", "field", "raw", rewrite_col("text", "repairs").alias("text"))).withColumnRenamed("key", key)
+    plain = folded.where(F.col("text").isNull() | ~foreign)
+    return plain.unionByName(mixed.join(per_row, ["key", "field"], "left").select("key", "field", "raw", rewrite_col("text", "repairs").alias("text"))).withColumnRenamed("key", key)
 
 
 def digest(c: str) -> Column:
@@ -135,7 +139,7 @@ def same_look_pairs(texts: DataFrame, key: str) -> DataFrame:
     formed between the distinct spellings of a text and then spread to the rows of each, so the
     work follows the size of the result. Null values take no part.
     """
-    rows = texts.where("raw is not null").select("field", key, digest("text").alias("look"), digest("raw").alias("spelling"))
+    rows = cut(texts.where("raw is not null").select("field", key, digest("text").alias("look"), digest("raw").alias("spelling")))
     spellings = rows.select("field", "look", "spelling").distinct()
     several = spellings.groupBy("field", "look").agg(F.min("spelling").alias("lo"), F.max("spelling").alias("hi")).where("lo < hi").select("field", "look")
     spellings = spellings.join(several, ["field", "look"], "left_semi")
