@@ -13,7 +13,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.plans.runtime import bounded
@@ -29,13 +29,13 @@ _LINK = re.compile(r"\((?:https?:)?//[^)\s]*\)")
 _LABEL = re.compile(r"^[^:]{1,16}:")
 _TABLE = re.compile(r"^\|.*\|$")
 
-LINES = pa.schema([("result_id", pa.int64()), ("line_no", pa.int64()), ("block", pa.int64()), ("host", pa.string()), ("article", pa.string()), ("shape", pa.string()), ("part", pa.string())])
-LINES_DDL = "result_id bigint, line_no bigint, block bigint, host string, article string, shape string, part string"
+LINES = pa.schema([("result_id", pa.int64()), ("line_no", pa.int64()), ("block", pa.int64()), ("host", pa.int64()), ("article", pa.int64()), ("shape", pa.string()), ("part", pa.string())])
+LINES_DDL = "result_id bigint, line_no bigint, block bigint, host bigint, article bigint, shape string, part string"
 
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"^[a-z][a-z0-9+.\-]*://(?:[^/@]*@)?([^/:?#]+)", (url or "").strip().lower())
-    return m[1] if m else ""
+def host_of(url: Column) -> Column:
+    """The host of an address in lower case; empty where there is none."""
+    return F.coalesce(F.regexp_extract(F.lower(F.trim(url)), r"^[a-z][a-z0-9+.\-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit(""))
 
 
 def even(line: str) -> str:
@@ -58,13 +58,13 @@ def shape(line: str, host: str) -> tuple[str, str | None]:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in bounded(batches, 3, 1 << 20):
+    for b in bounded(batches, 5, 1 << 20):
         rows = []
         for r in b.to_pylist():
             text, title = r["reader_content_preview"], heading(r["title"] or "")
             if not text or not text.strip():
                 continue
-            host, begun, block = host_of(r["url"]), not title, 0
+            host, begun, block = r["name"], not title, 0
             for k, raw in enumerate(text.split("\n")):
                 if not raw.strip():
                     block += 1
@@ -74,32 +74,36 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if heading(raw) != title:
                         continue
                     begun = True
-                    rows.append((r["result_id"], k, -1, host, title, "", None))
+                    rows.append((r["result_id"], k, -1, r["host"], r["article"], "", None))
                     continue
                 s, part = shape(even(raw), host)
-                rows.append((r["result_id"], k, block, host, title, s, part))
+                rows.append((r["result_id"], k, block, r["host"], r["article"], s, part))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), LINES, strict=True)], schema=LINES)
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
+def read_pages(pages: DataFrame) -> DataFrame:
+    """``result_id, name, host, article, title, reader_content_preview`` of the pages with a text; host and article as hashes."""
+    own = pages.where("reader_content_preview is not null").select(F.col("result_id").cast("bigint").alias("result_id"), host_of(F.col("url")).alias("name"), "title", "reader_content_preview")
+    return own.select("result_id", "name", F.xxhash64("name").alias("host"), F.xxhash64(F.lower(F.trim("title"))).alias("article"), "title", "reader_content_preview")
+
+
+def page_lines(own: DataFrame) -> DataFrame:
     """The lines from each page's heading on: ``result_id, line_no, block, host, article`` and the hashes ``shape, part``.
 
     The heading and rows of tables have a null ``shape``: they are never furniture.
     """
-    own = pages.where("reader_content_preview is not null").select(F.col("result_id").cast("bigint").alias("result_id"), "url", "title", "reader_content_preview")
-    lines = own.mapInArrow(_lines, LINES_DDL)
     number = lambda c: F.when(F.col(c) != "", F.xxhash64(F.lit(c), c))
-    return lines.withColumns({"shape": number("shape"), "part": number("part"), "article": F.xxhash64("article")})
+    return own.mapInArrow(_lines, LINES_DDL).withColumns({"shape": number("shape"), "part": number("part")})
 
 
-def template_elements(lines: DataFrame, share: float = SHARE, pages: int = PAGES, host_pages: int = HOST_PAGES) -> DataFrame:
+def template_elements(own: DataFrame, lines: DataFrame, share: float = SHARE, pages: int = PAGES, host_pages: int = HOST_PAGES) -> DataFrame:
     """``element``: the hashes of elements that belong to templates.
 
     Pages are counted by their article, so a page read again, or under two addresses, counts once. The count
     is by element and host before it is summed by element: no host, however large, meets in one task.
     """
-    sized = lines.groupBy("host", "article").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= host_pages)
+    sized = own.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= host_pages)
     elements = lines.select("host", "article", F.explode(F.array("shape", "part")).alias("element")).where("element is not null").distinct()
     per_host = elements.groupBy("element", "host").agg(F.count("*").alias("k"))
     counted = per_host.join(sized, "host").groupBy("element").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
@@ -113,8 +117,9 @@ def article_lines(pages: DataFrame) -> DataFrame:
     follows in its block (the links under "related", the rest of a footer). A page without its heading holds no
     article. Null and blank texts give nothing; a page without a title is taken from its first line.
     """
-    lines = page_lines(pages)
-    known = template_elements(lines)
+    own = read_pages(pages)
+    lines = page_lines(own)
+    known = template_elements(own, lines)
     marked = (
         lines.select("result_id", "line_no", "block", "shape", "part")
         .join(known.withColumnsRenamed({"element": "shape"}).withColumn("a", F.lit(1)), "shape", "left")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from shelfmark.llm.templates import article_lines, host_of, shape
 
 SCHEMA = "result_id bigint, url string, title string, reader_content_preview string, line_no int, shape string"
@@ -45,8 +47,9 @@ def test_odd_pages(spark):
     assert article_lines(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
 
 
-def test_hosts_and_shapes():
-    assert host_of("https://U@A.test:80/x?y") == "a.test" and host_of(None) == "" and host_of("x") == ""
+def test_hosts_and_shapes(spark):
+    urls = spark.createDataFrame([("https://U@A.test:80/x?y",), (None,), ("x",)], "u string")
+    assert [r.h for r in urls.select(host_of(F.col("u")).alias("h")).collect()] == ["a.test", "", ""]
     assert shape("| a | b |", "h") == ("", None)
     assert shape("(c) 2025 h.test Ltd, all", "h.test") == ("(c) 0 @ Ltd, all", "(c) 0 @ Ltd")
     assert shape("Address: Mill Road 7", "h.test") == ("Address: Mill Road 0", "Address:")
