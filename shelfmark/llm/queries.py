@@ -74,4 +74,22 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
+def _look_sql(c: str) -> str:
+    """The look of a text in SQL: every look-alike letter counts as its Latin one, whatever word it stands in."""
+    one = {chr(k): v for k, v in glyphs._MAP.items() if len(v) == 1}
+    one |= {chr(k): v for k in range(0x370, 0x530) if (v := glyphs.latin(chr(k))) and len(v) == 1 and v != chr(k)}
+    gone = "".join(chr(k) for k, v in glyphs._MAP.items() if not v)
+    for k, v in glyphs._MAP.items():
+        if len(v) > 1:
+            c = f"replace({c}, chr({k}), '{v}')"
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return f"nfc_normalize(translate({c}, {quoted(''.join(one) + gone)}, {quoted(''.join(one.values()))}))"
+
+
+SQL["p1_found"] = (
+    "WITH x AS (SELECT idx, 'title' AS field, title AS raw FROM products UNION ALL SELECT idx, 'description', description FROM products), "
+    f"k AS (SELECT idx, field, raw, {_look_sql('raw')} AS look FROM x WHERE raw IS NOT NULL) "
+    "SELECT a.field, a.idx AS idx_a, b.idx AS idx_b FROM k a JOIN k b ON a.field = b.field AND a.look = b.look WHERE a.idx < b.idx AND a.raw <> b.raw"
+)
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p4_found, p4_groups, p5_found, p6_ids, p7_found, p7_clean, p8_pieces)}
