@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.vectors import fuse
 from shelfmark.operators.fusion import aggregate_lists, merge_routes
-from shelfmark.operators.metrics import KS, macro, per_query, without_reference
+from shelfmark.operators.metrics import KS, judged, macro, per_query, without_reference
 from shelfmark.operators.ranking import nearest, sample_groups
 
 ROUTES = ("text_to_image", "image_to_image", "image_text_to_image", "multi_route")
@@ -56,14 +56,24 @@ def case_relevance(cases: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def case_metrics(cases: DataFrame, routes: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """``case_id, route`` and the metrics of each case; the merged route has metrics at 10 only."""
+    """``case_id, route`` and the metrics of each case; the merged route has metrics at 10 only.
+
+    All routes are judged in one join and counted in one aggregation by case and route.
+    """
     relevance = case_relevance(cases, qrels)
-    out = None
-    for name in ROUTES:
-        own = (10,) if name == "multi_route" else ks
-        m = per_query(routes.where(F.col("route") == name), relevance, cases, own, "case_id").withColumn("route", F.lit(name))
-        out = m if out is None else out.unionByName(m, allowMissingColumns=True)
-    return out
+    counts = relevance.groupBy("case_id").agg(F.count("*").alias("positives"))
+    hits = judged(routes.where(F.col("rank") <= max(ks)), relevance, "case_id").groupBy("case_id", "route")
+    hits = hits.agg(*[F.sum(F.when(F.col("rank") <= k, F.col("rel")).otherwise(0)).alias(f"h{k}") for k in ks])
+    grid = cases.select("case_id", F.explode(F.array(*map(F.lit, ROUTES))).alias("route"))
+    rows = grid.join(counts, "case_id", "left").join(hits, ["case_id", "route"], "left")
+    n, h = F.coalesce("positives", F.lit(0)).cast("double"), lambda k: F.coalesce(f"h{k}", F.lit(0)).cast("double")
+    own = lambda k, c: c if k == 10 else F.when(F.col("route") != "multi_route", c)
+    return rows.select(
+        "case_id", "route", n.alias("positive_count"),
+        *[own(k, h(k) / F.lit(float(k))).alias(f"precision@{k}") for k in ks],
+        *[own(k, F.try_divide(h(k), n)).alias(f"recall@{k}") for k in ks],
+        *[own(k, F.when(h(k) > 0, 1.0).otherwise(0.0)).alias(f"hit@{k}") for k in ks],
+    )
 
 
 def case_summary(metrics: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
