@@ -171,7 +171,7 @@ class Matcher:
                 if len(e := self.ends.get(text, ())) == 1:
                     out.append((0.8, next(iter(e))))
                 for t in (text, text[:-1]):
-                    if len(t) >= 4 and len({h[1] for k in range(1, len(t)) if (h := self.near(t[k:] + t[:k], 0))}) == 1:
+                    if 4 <= len(t) <= self.longest and len({h[1] for k in range(1, len(t)) if (h := self.near(t[k:] + t[:k], 0))}) == 1:
                         out.append((0.9, next(h[1] for k in range(1, len(t)) if (h := self.near(t[k:] + t[:k], 0)))))
                 if len(text) >= 6 and (hit := self.shortened(text)):
                     out.append((2.5, hit))
@@ -179,7 +179,7 @@ class Matcher:
 
     def shortened(self, text: str) -> str | None:
         """The entry of which a name of four or more characters remains when a stretch of the text is left out."""
-        found = {h[1] for size in range(2, len(text) - 3) for at in range(1, len(text) - size) if (h := self.near(text[:at] + text[at + size :], 0))}
+        found = {h[1] for size in range(max(2, len(text) - self.longest), len(text) - 3) for at in range(1, len(text) - size) if (h := self.near(text[:at] + text[at + size :], 0))}
         return found.pop() if len(found) == 1 else None
 
     def entry(self, value: str) -> str:

@@ -26,7 +26,7 @@ WINDOW, ONE_IN = 24, 96
 #: Kinds of break, the strongest first: paragraph, line, sentence, clause, white space.
 BREAKS = [
     re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)\s*"),
-    re.compile(r"\s*[\r\n  ]\s*"),
+    re.compile(r"[\r\n\u2028\u2029]\s*"),
     re.compile(r"[。！？!?…．]+[”’」』）)\]\"']*|(?<![\d.])\.+[”’)\]\"']*(?=\s|$)|(?<=\d)\.(?=\s|$)"),
     re.compile(r"[，；：、,;](?=\D|$)|[:—](?=\s)"),
     re.compile(r"\s+"),

@@ -45,7 +45,7 @@ BRANDS = [("Cassobras", "Cassobras"), ("珂鸥岚", "Cassobras"), ("Rasobpol", "
 
 @pytest.mark.parametrize(("typed", "entry"), [
     ("　电热水壶 ", "电热水壶"), ("【电热水壶]", "电热水壶"), ("ELECTRIC-KETTLE", "电热水壶"), ("electri kettle", "电热水壶"), ("electrickettle", "电热水壶"), ("厨房电器/电热水壶", "电热水壶"), ("便携电热水壶", "电热水壶"), ("烧水壶等", "电热水壶"), ("电水壶", "电热水壶"),
-    ("头盔", "骑行头盔"), ("唱机黑胶", "黑胶唱机"), ("五金工具箱", "工具箱"), ("rіcе сооkеr", "电饭煲"), ("其他", UNMATCHED), ("水壶", UNMATCHED), ("雨伞", UNMATCHED), ("厨房电器", UNMATCHED), ("phone case", UNMATCHED), ("/", UNMATCHED), ("x" * 50_000, UNMATCHED),
+    ("头盔", "骑行头盔"), ("唱机黑胶", "黑胶唱机"), ("五金工具箱", "工具箱"), ("rіcе сооkеr", "电饭煲"), ("其他", UNMATCHED), ("水壶", UNMATCHED), ("雨伞", UNMATCHED), ("厨房电器", UNMATCHED), ("phone case", UNMATCHED), ("/", UNMATCHED), ("x" * 50_000, UNMATCHED), ("戊" * 20_000, UNMATCHED), ("戊 " * 20_000, UNMATCHED),
 ])
 def test_kinds(typed, entry):
     assert Matcher(KINDS, ["厨房电器", "kitchen"], True).entry(typed) == entry

@@ -54,7 +54,7 @@ def prose(rnd, n):
 def test_pieces_hold_the_text_and_end_at_breaks():
     encoder = Encoder(open(TOKENIZER, "rb").read())
     rnd = random.Random(1)
-    for text in [prose(rnd, 400), "word " * 3000, "x" * 9000, "😀" * 2000, "A sentence of words. " * 800, "a\r\n" * 2500, "中" * 5000, " " * 9000, "一句话。" + "z" * 8000]:
+    for text in [prose(rnd, 400), "word " * 3000, "x" * 9000, "😀" * 2000, "A sentence of words. " * 800, "a\r\n" * 2500, "中" * 5000, " " * 60_000, "一句话。" + "z" * 8000]:
         cut = Cutter(encoder).cut(text)
         check(text, cut, encoder)
         assert len(cut) > 1
