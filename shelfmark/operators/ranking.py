@@ -52,12 +52,21 @@ def _top(held, k: int, exclude: str):
 def _blocks(queries: DataFrame, extra: str, block: int) -> Iterator[tuple]:
     """The queries as matrices of at most about ``block`` rows, one after another."""
     queries = queries.where("vector is not null").select(F.col("query_id").cast("bigint"), F.col(extra).cast("bigint").alias("own") if extra else F.lit(None).cast("bigint").alias("own"), F.col("vector").cast("array<double>").alias("vector"))
-    n = max(1, -(-queries.count() // block))
-    for k in range(n):
-        t = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).toArrow()
+    for t in _tables(queries, block):
         yield t["query_id"].combine_chunks().to_numpy(), t["own"].combine_chunks().fill_null(np.iinfo(np.int64).min).to_numpy(), _matrix(t["vector"].combine_chunks())
 
 
+def _tables(queries: DataFrame, block: int) -> Iterator[pa.Table]:
+    """One job where all fit into a block; else a count, and a job for each part by hash."""
+    t = queries.limit(block + 1).toArrow()
+    if t.num_rows <= block:
+        yield t
+        return
+    n = -(-queries.count() // block)
+    for k in range(n):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).toArrow()
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, *, exclude: str | None = None, how: str = "drop", strategy: str = "block", block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, idx, score``: the ``k`` rows of the corpus (``idx, vector``) with the largest inner product.
 
@@ -115,10 +124,9 @@ def rank_of_positive(queries: DataFrame, corpus: DataFrame, *, block: int = QUER
     sc = queries.sparkSession.sparkContext
     vectors = corpus.where("vector is not null").select(F.col("idx").cast("bigint").alias("idx"), F.col("vector").cast("array<double>").alias("vector"))
     goal = queries.join(vectors.select(F.col("idx").alias("positive"), F.col("vector").alias("goal")), "positive")
-    n = max(1, -(-goal.count() // block))
+    goal = goal.select("query_id", "positive", F.col("vector").cast("array<double>").alias("vector"), "goal")
     out = None
-    for k in range(n):
-        t = goal.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).select("query_id", "positive", F.col("vector").cast("array<double>").alias("vector"), "goal").toArrow()
+    for t in _tables(goal, block):
         if not t.num_rows:
             continue
         matrix, goals = _matrix(t["vector"].combine_chunks()), _matrix(t["goal"].combine_chunks())
