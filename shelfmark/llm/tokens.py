@@ -51,6 +51,12 @@ class Encoder:
             return []
         return self.core.encode_ordinary(text) if len(text) <= self.leaf else self.tree(text, 0, len(text))[0]
 
+    def ids(self, text: str) -> np.ndarray:
+        """The same ids without a Python number for each."""
+        if not text:
+            return np.zeros(0, np.int64)
+        return self.core.encode_to_numpy(text, disallowed_special=()) if len(text) <= self.leaf else np.array(self.tree(text, 0, len(text))[0], np.int64)
+
     def tree(self, text: str, a: int, b: int) -> tuple[list[int], list[int]]:
         """Ids of ``text[a:b]`` and the ends of its splits."""
         if b - a <= self.leaf:
@@ -105,13 +111,10 @@ def _encoding(held, leaf: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(held.value, leaf=leaf)
         for b in bounded(batches, 1):
-            texts = b.column(1).to_pylist()
-            short = [t if t and len(t) <= leaf else "" for t in texts]
-            ids = encoder.core.encode_ordinary_batch(short, num_threads=1)
-            ids = [encoder.encode(t) if t and len(t) > leaf else i for t, i in zip(texts, ids, strict=True)]
+            ids = [encoder.ids(t or "") for t in b.column(1).to_pylist()]
             offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(i) for i in ids], out=offsets[1:])
-            flat = np.fromiter((x for i in ids for x in i), np.int32, int(offsets[-1]))
+            np.cumsum([i.size for i in ids], out=offsets[1:])
+            flat = np.concatenate(ids).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
 
     return run
