@@ -61,64 +61,98 @@ class Cutter:
 
     def cut(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """``start, end, overlap characters, overlap tokens, tokens`` of each piece; the end of the new text of one is the start of that of the next."""
-        ids = self.encoder.encode(text)
+        ids = self.encoder.ids(text)
         if len(ids) <= self.limit:
             return [(0, len(text), 0, 0, len(ids))] if text else []
-        # Characters up to each token: a token that ends inside a character counts up to that character.
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        chars = np.cumsum((raw & 0xC0) != 0x80)
-        ends = np.cumsum(self.encoder.sizes[np.asarray(ids)])
-        whole = np.concatenate([(raw[1:] & 0xC0) != 0x80, [True]])
-        up_to = chars[ends - 1]
-        fits = np.where(whole[ends - 1], up_to, up_to - 1)
-        tokens_at = lambda pos: int(np.searchsorted(up_to, pos, "left"))
-        breaks = [sorted({m.end() for m in b.finditer(text)} - {0}) for b in BREAKS]
+        n, whole = len(text), Positions(text, self.encoder.sizes[ids])
+        strong = [sorted({m.end() for b in BREAKS[:3] for m in b.finditer(text)} - {0})]
         marks = landmarks(text)
-        out, new_from, at = [], 0, 0
-        n = len(text)
+        count = lambda a, b: whole.between(a, b) if whole.clean(a) and whole.clean(b) else len(self.encoder.encode(text[a:b]))
+        out, new_from = [], 0
         while new_from < n:
-            done = tokens_at(new_from) + (new_from > 0)
-            first = len(out) == 0
+            done = whole.tokens(new_from) + (new_from > 0)
+            first = not out
             most = self.most + (self.overlap if first else 0)
-            room = len(ids) - done
-            end = n if room <= most else self.end(breaks, marks, new_from, int(fits[min(done + self.least, len(ids)) - 1]), int(fits[min(done + most, len(ids)) - 1]))
-            at = new_from if first else self.back(breaks, new_from, int(fits[max(0, tokens_at(new_from) - self.overlap)]))
+            end = n if len(ids) - done <= most else self.end(text, strong, marks, new_from, whole.fits(done + self.least), whole.fits(done + most))
+            at = new_from if first else self.back(text, strong, new_from, whole.fits(max(1, whole.tokens(new_from) - self.overlap + 1)))
             while True:
-                count, repeated = len(self.encoder.encode(text[at:end])), len(self.encoder.encode(text[at:new_from])) if at < new_from else 0
-                if count <= self.limit and repeated <= self.overlap:
+                size, repeated = count(at, end), count(at, new_from) if at < new_from else 0
+                if size <= self.limit and repeated <= self.overlap:
                     break
                 if at < new_from:
                     at = min(new_from, at + max(1, (new_from - at) // 8))
                 else:
                     end = new_from + max(1, (end - new_from) * 15 // 16)
-            out.append((at, end, new_from - at, repeated, count))
+            out.append((at, end, new_from - at, repeated, size))
             new_from = end
         return out
 
-    def end(self, breaks: list[list[int]], marks: np.ndarray, start: int, low: int, high: int) -> int:
+    def end(self, text: str, strong: list[list[int]], marks: np.ndarray, start: int, low: int, high: int) -> int:
         """Where the piece ends: between ``low`` and ``high``, at the strongest kind of break found there."""
         low, high = max(low, start + 1), max(high, start + 1)
-        for strong in (breaks[0:3], breaks[3:4], breaks[4:5]):
-            inside = sorted({p for b in strong for p in b[bisect_left(b, low) : bisect_right(b, high)]})
+        for kind in (strong, 3, 4):
+            inside = _inside(text, kind, low, high)
             if not inside:
                 continue
             for m in marks[np.searchsorted(marks, low) : np.searchsorted(marks, high, "right")].tolist():
                 k = bisect_left(inside, m)
                 return min(inside[max(0, k - 1) : k + 1], key=lambda p: (abs(p - m), p))
             return inside[-1]
-        # No break between the bounds: an earlier one is still better than none.
-        before = [p for b in breaks for p in b[max(0, bisect_left(b, low) - 1) : bisect_left(b, low)] if p > start]
+        # No break between the bounds: the last one before them is still better than none.
+        before = [p for kind in (strong, 3, 4) for p in _inside(text, kind, start + 1, low)[-1:]]
         return max(before) if before else high
 
-    def back(self, breaks: list[list[int]], new_from: int, earliest: int) -> int:
+    def back(self, text: str, strong: list[list[int]], new_from: int, earliest: int) -> int:
         """Where the overlap begins: the first sentence or line, else clause or word, within the tokens to repeat."""
-        for strong in (breaks[0:3], breaks[3:4], breaks[4:5]):
-            inside = [b[k] for b in strong if (k := bisect_left(b, earliest)) < len(b) and b[k] < new_from]
-            if inside:
-                return min(inside)
+        for kind in (strong, 3, 4):
+            if inside := _inside(text, kind, earliest, new_from - 1):
+                return inside[0]
         return min(earliest, new_from)
 
 
+class Positions:
+    """Characters and tokens of a whole text against each other."""
+
+    def __init__(self, text: str, sizes: np.ndarray):
+        self.text = text
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        head = (raw & 0xC0) != 0x80
+        chars, ends = np.cumsum(head), np.cumsum(sizes)
+        #: Characters begun up to the end of each token, and those complete by then.
+        self.up_to = chars[ends - 1]
+        self.complete = self.up_to - ~np.append(head[1:], True)[ends - 1]
+
+    def tokens(self, pos: int) -> int:
+        """Tokens that end before the character at ``pos``."""
+        return int(np.searchsorted(self.up_to, pos, "left"))
+
+    def fits(self, count: int) -> int:
+        """The characters that the first ``count`` tokens hold."""
+        return int(self.complete[min(count, self.complete.size) - 1])
+
+    def clean(self, pos: int) -> bool:
+        """Whether the text may be cut at ``pos`` without another split on either side: behind a sign that isn't
+        an apostrophe and before a letter, number or space, or behind a single line end."""
+        t = self.text
+        if pos == 0 or pos == len(t):
+            return True
+        before, after = t[pos - 1], t[pos]
+        if before.isspace():
+            return before in "\n\r\t" and not after.isspace() and not (pos > 1 and t[pos - 2].isspace())
+        return before != "'" and not before.isalnum() and (after.isalnum() or after.isspace())
+
+    def between(self, a: int, b: int) -> int:
+        """Tokens of the text from one clean place to another."""
+        return int(np.searchsorted(self.up_to, b, "right") - np.searchsorted(self.up_to, a, "right"))
+
+
+def _inside(text: str, kind: list[list[int]] | int, low: int, high: int) -> list[int]:
+    """Breaks from ``low`` to ``high`` in order: of the strong kinds, found once a text, or of a weaker one, sought only here."""
+    if isinstance(kind, int):
+        return [m.end() for m in BREAKS[kind].finditer(text, max(0, low - 1), high) if m.end() >= low]
+    return kind[0][bisect_left(kind[0], low) : bisect_right(kind[0], high)]
+
+
 def _cutting(held, limit: int, overlap: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(Encoder(held.value), limit, overlap, least)
