@@ -41,7 +41,14 @@ def even(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    return [_NOT_WORD.sub("", w) for w in _WORD.findall(text)]
+    return [w if w.isalnum() else _NOT_WORD.sub("", w) for w in _WORD.findall(text)]
+
+
+def hashed(rows: list[list[str]]) -> list[np.ndarray]:
+    """The words of several texts as numbers; each different word is hashed once."""
+    flat = np.array([w for r in rows for w in r], object)
+    numbers = pd.util.hash_array(flat, categorize=True).astype(np.int64) if flat.size else np.zeros(0, np.int64)
+    return np.split(numbers, np.cumsum([len(r) for r in rows])[:-1]) if rows else []
 
 
 def characters(text: str) -> np.ndarray:
@@ -128,7 +135,8 @@ class Passages:
         self.by_words, self.need = by_words, WORDS if by_words else CHARACTERS
         # One replaced token leaves at least half of the others verbatim on one side of it.
         self.depth = self.need // 2
-        streams = [(pd.util.hash_array(np.array(words(t), object)).astype(np.int64) if by_words else characters(t), items) for t, items in texts]
+        numbers = hashed([words(t) for t, _ in texts]) if by_words else [characters(t) for t, _ in texts]
+        streams = list(zip(numbers, [items for _, items in texts], strict=True))
         streams = [(s, i) for s, i in streams if s.size >= self.need]
         self.items = [i for _, i in streams]
         sizes = np.array([s.size for s, _ in streams], np.int64)
@@ -209,14 +217,19 @@ def _searching(held, shard: int):
                     yield from flush(mode)
 
         for b in bounded(batches, 1):
+            spoken: list[tuple[int, list[str]]] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
                 plain = even(text)
                 if by_words.tokens.size and len(w := words(plain)) >= WORDS:
-                    yield from put(True, doc, pd.util.hash_array(np.array(w, object), categorize=True).astype(np.int64))
-                if by_characters.tokens.size and len(_HAN.findall(plain)) >= least_han and (c := characters(plain)).size >= CHARACTERS:
-                    yield from put(False, doc, c)
+                    spoken.append((doc, w))
+                if by_characters.tokens.size and (least_han <= 0 or _HAN.search(plain)):
+                    c = characters(plain)
+                    if c.size >= CHARACTERS and np.count_nonzero((c >= 0x3400) & (c <= 0x9FFF)) >= least_han:
+                        yield from put(False, doc, c)
+            for (doc, _), numbers in zip(spoken, hashed([w for _, w in spoken]), strict=True):
+                yield from put(True, doc, numbers)
         yield from flush(True)
         yield from flush(False)
 
