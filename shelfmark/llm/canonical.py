@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -55,6 +56,16 @@ def distance(a: str, b: str) -> int:
     return rows[n + 1][m + 1]
 
 
+def apart(letters: Counter, n: int, b: str) -> int:
+    """Edits at least needed from a text of ``n`` letters: order aside, each edit mends one letter."""
+    left, common = dict(letters), 0
+    for c in b:
+        if left.get(c, 0):
+            left[c] -= 1
+            common += 1
+    return max(n, len(b)) - common
+
+
 class BKTree:
     """Texts under ``distance``; ``within`` returns every text at most ``radius`` away."""
 
@@ -70,11 +81,18 @@ class BKTree:
             if d:
                 at[1][d] = (w, {})
 
-    def within(self, word: str, radius: int) -> list[tuple[int, str]]:
+    def within(self, word: str, radius: int, known: dict[str, int] | None = None) -> list[tuple[int, str]]:
+        """``known`` keeps the distances from ``word`` between searches of growing radius."""
+        known = {} if known is None else known
         found, stack = [], [self.root] if self.root else []
+        letters = Counter(word)
         while stack:
             w, below = stack.pop()
-            d = distance(word, w)
+            if not below and apart(letters, len(word), w) > radius:
+                # Nothing hangs below, and the letters alone put it out of reach.
+                continue
+            if (d := known.get(w)) is None:
+                d = known[w] = distance(word, w)
             if d <= radius:
                 found.append((d, w))
             # |d(word, w) - d(w, x)| <= d(word, x): other subtrees can't hold a text within the radius.
@@ -139,8 +157,9 @@ class Matcher:
         """Cost and entry of the closest name; None if none is within ``r`` or the closest mean different entries."""
         if not text or len(text) > self.longest + r:
             return None
+        known: dict[str, int] = {}
         for k in sorted({0, min(1, r), r}):
-            if found := self.tree.within(text, k):
+            if found := self.tree.within(text, k, known):
                 best = min(d for d, _ in found)
                 closest = [w for d, w in found if d == best]
                 entries = set().union(*map(self.of.__getitem__, closest))
