@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
+from shelfmark.models import PRESETS, encode
 from shelfmark.operators import catalogue as A
-from shelfmark.operators.ranking import sample_groups
+from shelfmark.operators.ranking import nearest, sample_groups
 from shelfmark.operators.report import VARIANTS, in_benchmark_order, variants, with_sample_order
 from shelfmark.plans.retrieval import SEED, rounded
 from shelfmark.plans.runtime import table
@@ -53,6 +54,13 @@ def prompts(spark: SparkSession, d: str) -> DataFrame:
     return A.prompted(q, variants(spark)).select("model_name", "input_language", "key", "prompt", "prompt_label")
 
 
+def encoded_search(spark: SparkSession, d: str) -> DataFrame:
+    """The five titles nearest to each subcategory's name, by the stand-in encoder."""
+    titles = encode(_products(spark, d).select("idx", "title"), "idx", "title", PRESETS["siglip2"])
+    q = encode(table(spark, d, "subcategory_queries").select(F.xxhash64("key").alias("query_id"), "query_text"), "query_id", "query_text", PRESETS["siglip2"])
+    return rounded(nearest(q, titles, 5))
+
+
 def requests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "subcategory_queries").select("key", X.request_text(F.col("category"), F.col("canonical_subcategory")).alias("request"))
 
@@ -74,7 +82,7 @@ def benchmark_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{f.__name__: f for f in (slugs, positives_packed, qrels_distinct, prompts, requests, product_cases, variant_order, benchmark_order)},
+    **{f.__name__: f for f in (slugs, positives_packed, qrels_distinct, prompts, requests, encoded_search, product_cases, variant_order, benchmark_order)},
     **{f"subcategory_queries_{m}": _queries(m) for m in X.QUERY_MODES},
     **{f"documents_{m}": _documents(m) for m in X.DOCUMENT_MODES},
 }

@@ -18,6 +18,7 @@ from shelfmark.operators import ranking as R
 from shelfmark.operators.fusion import merge_routes
 from shelfmark.operators.report import combined_rows, retrieval_table
 from shelfmark.plans.runtime import spread, table
+from shelfmark.sources.files import predictions
 
 SEED, REPEATS = 20260403, 5
 KS = M.KS
@@ -79,6 +80,16 @@ def i2i_eval(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.long_form(M.macro(m)))
 
 
+def topk_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """The list of each query as a report holds it: images, scores and whether they are right, in order."""
+    c = corpus(spark, d)
+    q = queries_of(c)
+    images = c.select("idx", F.concat(F.lit("images/"), "label", F.lit("/"), "idx", F.lit(".jpg")).alias("image"))
+    rows = predictions(R.nearest(q, c, 10, exclude="own").withColumn("score", F.round("score", 4)), relevance_of(q, c), images)
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.4f", x)) if c == "topk_scores" else F.col(c).cast("array<string>"), ",").alias(c)
+    return rows.select("query_id", text("topk_image_paths"), text("topk_scores"), text("topk_correct_flags"))
+
+
 def fused_eval(spark: SparkSession, d: str) -> DataFrame:
     """Image and text vector fused into one query."""
     c = corpus(spark, d)
@@ -174,13 +185,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         i2i_eval, i2i_ranked, i2i_ranked_sql_strategy, i2i_last_variant, i2i_per_query, fused_eval, single_positive_eval, vector_norms, repeat_cases,
-        case_routes, multi_route, case_metrics, case_summary, aggregated_candidates, combined_report, retrieval_report, best_route,
+        topk_predictions, case_routes, multi_route, case_metrics, case_summary, aggregated_candidates, combined_report, retrieval_report, best_route,
     )
 }
 
 _Q = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 100 = 0)"
 _P = "p AS (SELECT label, min(vec_id) AS prototype FROM embeddings GROUP BY label), pv AS (SELECT p.label, p.prototype, e.embedding::DOUBLE[] AS v FROM p JOIN embeddings e ON e.vec_id = p.prototype)"
-_R = """s AS (SELECT q.query_id, c.vec_id AS idx, list_dot_product(q.v, c.embedding::DOUBLE[]) AS score FROM q JOIN embeddings c ON c.vec_id <> q.query_id),
+_R = """s AS (SELECT q.query_id, c.vec_id AS idx, list_dot_product(q.v, c.embedding::DOUBLE[]) AS score, c.label AS cl FROM q JOIN embeddings c ON c.vec_id <> q.query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, idx) AS rank FROM s)"""
 _REL = "rel AS (SELECT q.query_id, e.vec_id AS idx FROM q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.query_id)"
 
@@ -238,6 +249,7 @@ _PCT = lambda x: f"printf('%.1f', {x} * 100.0) || '%'"
 
 SQL: dict[str, str] = {
     "i2i_ranked": f"WITH {_Q}, {_R} SELECT query_id, rank, idx, round(score, 6) AS score FROM r WHERE rank <= 10",
+    "topk_predictions": f"WITH {_Q}, {_R}, {_REL}, x AS (SELECT r.query_id, r.rank, 'images/' || r.cl || '/' || r.idx || '.jpg' AS image, round(r.score, 4) AS score, CASE WHEN rel.idx IS NULL THEN 0 ELSE 1 END AS flag FROM r LEFT JOIN rel ON rel.query_id = r.query_id AND rel.idx = r.idx WHERE r.rank <= 10) SELECT query_id, string_agg(image, ',' ORDER BY rank) AS topk_image_paths, string_agg(printf('%.4f', score), ',' ORDER BY rank) AS topk_scores, string_agg(flag::VARCHAR, ',' ORDER BY rank) AS topk_correct_flags FROM x GROUP BY query_id",
     "i2i_last_variant": "SELECT vec_id AS query_id, (SELECT count(*) FROM embeddings) AS rank FROM embeddings WHERE vec_id % 100 = 0",
     "i2i_per_query": f"WITH {_Q}, {_R}, {_REL}, {_metrics_sql('r')} SELECT query_id, positive_count, " + ", ".join(f'round("{n}@{k}", 6) AS "{n}@{k}"' for n in ("precision", "recall", "hit") for k in KS) + " FROM m",
     "i2i_eval": f"WITH {_Q}, {_R}, {_REL}, {_metrics_sql('r')} {_long_sql()}",
