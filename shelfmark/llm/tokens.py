@@ -23,7 +23,7 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the public rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a leaf; shorter texts are encoded at once.
-LEAF = 4096
+LEAF = 16_384
 #: The pattern looks at most two characters past the start of a match and one past its end.
 LOOK = 3
 
