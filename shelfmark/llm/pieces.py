@@ -27,7 +27,7 @@ WINDOW, ONE_IN = 24, 96
 BREAKS = [
     re.compile(r"(?:\r\n?|\n)[^\S\r\n]*(?:\r\n?|\n)\s*"),
     re.compile(r"[\r\n\u2028\u2029]\s*"),
-    re.compile(r"[。！？!?…．]+[”’」』）)\]\"']*|(?<![\d.])\.+[”’)\]\"']*(?=\s|$)|(?<=\d)\.(?=\s|$)"),
+    re.compile(r"[。！？!?…．]+[”’」』）)\]\"']*|\.(?<!\.\.)\.*[”’)\]\"']*(?=\s|$)"),
     re.compile(r"[，；：、,;](?=\D|$)|[:—](?=\s)"),
     re.compile(r"\s+"),
 ]
