@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.vectors import dot
+from shelfmark.plans.runtime import broadcastable
 
 #: Queries broadcast at once, and rows of the corpus scored at once against them.
 QUERY_BLOCK, ROWS = 4096, 512
@@ -74,12 +75,12 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, *, exclude: str | Non
     ``exclude`` names a column of ``queries`` with an ``idx`` to leave out: ``how="drop"`` drops it, ``"last"`` keeps it at
     the end of the list. ``strategy="block"`` sends the queries in blocks to the corpus, which stays where it is: each
     partition keeps the best ``k`` of each query, and only these are shuffled. ``"sql"`` is the same as a
-    join of the broadcast queries, for small sides.
+    join of the broadcast queries, for at most ``block`` of them; more go in blocks all the same.
     """
-    if strategy == "sql":
+    if strategy == "sql" and broadcastable(queries, block):
         q = queries.where("vector is not null").select("query_id", F.col("vector").alias("qv"), F.col(exclude).alias("own") if exclude else F.lit(None).cast("bigint").alias("own"))
         c = corpus.where("vector is not null").select("idx", F.col("vector").alias("cv"))
-        scored = q.join(c, F.lit(True)).withColumn("score", F.nanvl(dot(F.col("qv"), F.col("cv")), F.lit(float("-inf"))))
+        scored = c.join(F.broadcast(q), F.lit(True)).withColumn("score", F.nanvl(dot(F.col("qv"), F.col("cv")), F.lit(float("-inf"))))
         same = F.coalesce(F.col("idx") == F.col("own"), F.lit(False))
         scored = scored.where(~same) if how == "drop" else scored.withColumn("score", F.when(same, F.lit(float("-inf"))).otherwise(F.col("score")))
         found = scored.select("query_id", "idx", "score")

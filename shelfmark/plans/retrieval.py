@@ -59,11 +59,10 @@ def i2i_ranked_sql_strategy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def i2i_last_variant(spark: SparkSession, d: str) -> DataFrame:
-    """Self kept at the end of the list instead of left out; only its place is reported."""
-    c = corpus(spark, d)
-    q = queries_of(c)
-    full = R.nearest(q, c, 1 << 20, exclude="own", how="last", strategy="sql")
-    return rounded(full.where("idx = query_id").select("query_id", "rank"))
+    """The labels' prototypes against each other, self kept at the end of the list instead of left out."""
+    p = prototypes(corpus(spark, d))
+    found = R.nearest(p.select(F.col("prototype").alias("query_id"), "vector", F.col("prototype").alias("own")), p.select(F.col("prototype").alias("idx"), "vector"), 50, exclude="own", how="last")
+    return rounded(found.select("query_id", "rank", "idx"))
 
 
 def i2i_per_query(spark: SparkSession, d: str) -> DataFrame:
@@ -250,7 +249,7 @@ _PCT = lambda x: f"printf('%.1f', {x} * 100.0) || '%'"
 SQL: dict[str, str] = {
     "i2i_ranked": f"WITH {_Q}, {_R} SELECT query_id, rank, idx, round(score, 6) AS score FROM r WHERE rank <= 10",
     "topk_predictions": f"WITH {_Q}, {_R}, {_REL}, x AS (SELECT r.query_id, r.rank, 'images/' || r.cl || '/' || r.idx || '.jpg' AS image, round(r.score, 4) AS score, CASE WHEN rel.idx IS NULL THEN 0 ELSE 1 END AS flag FROM r LEFT JOIN rel ON rel.query_id = r.query_id AND rel.idx = r.idx WHERE r.rank <= 10) SELECT query_id, string_agg(image, ',' ORDER BY rank) AS topk_image_paths, string_agg(printf('%.4f', score), ',' ORDER BY rank) AS topk_scores, string_agg(flag::VARCHAR, ',' ORDER BY rank) AS topk_correct_flags FROM x GROUP BY query_id",
-    "i2i_last_variant": "SELECT vec_id AS query_id, (SELECT count(*) FROM embeddings) AS rank FROM embeddings WHERE vec_id % 100 = 0",
+    "i2i_last_variant": f"WITH {_P} SELECT a.prototype AS query_id, row_number() OVER (PARTITION BY a.prototype ORDER BY a.prototype = b.prototype, list_dot_product(a.v, b.v) DESC, b.prototype) AS rank, b.prototype AS idx FROM pv a CROSS JOIN pv b",
     "i2i_per_query": f"WITH {_Q}, {_R}, {_REL}, {_metrics_sql('r')} SELECT query_id, positive_count, " + ", ".join(f'round("{n}@{k}", 6) AS "{n}@{k}"' for n in ("precision", "recall", "hit") for k in KS) + " FROM m",
     "i2i_eval": f"WITH {_Q}, {_R}, {_REL}, {_metrics_sql('r')} {_long_sql()}",
     "fused_eval": f"WITH q0 AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, label FROM embeddings WHERE vec_id % 100 = 0), {_P}, q AS (SELECT query_id, {_fused('q0.v', 'pv.v')} AS v, label FROM q0 JOIN pv USING (label)), {_R}, {_REL}, {_metrics_sql('r')} {_long_sql()}",

@@ -28,12 +28,12 @@ def read_products(spark: SparkSession, path: str, *, strict: bool = True) -> Dat
     and the splits' sizes, a row each, give the starts. With ``strict`` a line that isn't JSON, or whose
     fields aren't exactly those of a product, is an error.
     """
-    fields = [f.name for f in T._parse_datatype_string(PRODUCT).fields] if hasattr(T, "_parse_datatype_string") else [x.split()[0] for x in PRODUCT.split(", ") if " " in x]
+    fields = [x.split()[0] for x in PRODUCT.split(", ")]
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     within = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-    rows = lines.withColumn("within", within).join(F.broadcast(starts), ["file", "block"]).select((F.col("start") + F.col("within")).alias("idx"), "value")
+    rows = lines.withColumn("within", within).join(starts, ["file", "block"]).select((F.col("start") + F.col("within")).alias("idx"), "value")
     parsed = rows.withColumn("p", F.from_json("value", PRODUCT)).withColumn("keys", F.json_object_keys("value"))
     if strict:
         wrong = F.col("keys").isNull() | (F.array_sort("keys") != F.lit(sorted(fields)))

@@ -39,7 +39,7 @@ def test_sampling_limits_groups_before_the_shuffle(spark):
     assert text.count("WindowGroupLimit") >= 2
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"i2i_ranked_sql_strategy", "i2i_last_variant", "prompts"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - {"i2i_ranked_sql_strategy", "prompts"}))
 def test_no_query_multiplies_tables(spark, name):
     text = plan(registry.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
