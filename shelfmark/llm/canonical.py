@@ -2,8 +2,8 @@
 
 Every entry's names stand in a BK-tree under the unrestricted Damerau-Levenshtein distance, which is a
 true metric; the triangle inequality prunes the search and every name within the radius is found.
-A list beyond ``SHARD_FORMS`` names is cut into shards that are broadcast one after another; the winners
-of the shards are merged.
+A list beyond ``SHARD_FORMS`` names is cut into shards that are broadcast one after another. A shard decides
+nothing: it returns what each lookup finds in it, and the entry is decided on the finds of all shards.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -153,22 +154,30 @@ class Matcher:
                     if k >= 3:
                         self.ends.setdefault(form[:k], set()).update(entries)
 
-    def near(self, text: str, r: int) -> tuple[float, str] | None:
-        """Cost and entry of the closest name; None if none is within ``r`` or the closest mean different entries."""
-        if not text or len(text) > self.longest + r:
-            return None
+    def closest(self, text: str, r: int) -> tuple[int, dict[str, set[str]]] | None:
+        """Edits to the closest names within ``r``, and the entries of each; None if there is none."""
         known: dict[str, int] = {}
         for k in sorted({0, min(1, r), r}):
             if found := self.tree.within(text, k, known):
                 best = min(d for d, _ in found)
-                closest = [w for d, w in found if d == best]
-                entries = set().union(*map(self.of.__getitem__, closest))
-                if len(entries) > 1:
-                    # Letters left out or put in are nearer to what is meant than letters replaced.
-                    entries = set().union(*(self.of[w] for w in closest if abs(len(w) - len(text)) == best))
-                return (best, entries.pop()) if len(entries) == 1 else None
+                return best, {w: self.of[w] for d, w in found if d == best}
         return None
 
+    def ended(self, text: str) -> set[str]:
+        """The entries of the names that end, or begin, with the text."""
+        return self.ends.get(text, set())
+
+    def near(self, text: str, r: int) -> tuple[float, str] | None:
+        """Cost and entry of the closest name; None if none is within ``r`` or the closest mean different entries."""
+        if not text or len(text) > self.longest + r or not (hit := self.closest(text, r)):
+            return None
+        best, names = hit
+        entries = set().union(*names.values())
+        if len(entries) > 1:
+            # Letters left out or put in are nearer to what is meant than letters replaced.
+            entries = set().union(*(e for w, e in names.items() if abs(len(w) - len(text)) == best))
+        return (best, entries.pop()) if len(entries) == 1 else None
+
     def inside(self, text: str) -> tuple[float, str] | None:
         """The longest name that stands in the text; of the same length, the one nearer its end."""
         n = len(text)
@@ -187,7 +196,7 @@ class Matcher:
             if hit := self.inside(text):
                 out.append((0.5, hit[1]))
             if self.parts:
-                if len(e := self.ends.get(text, ())) == 1:
+                if len(e := self.ended(text)) == 1:
                     out.append((0.8, next(iter(e))))
                 for t in (text, text[:-1]):
                     if 4 <= len(t) <= self.longest and len({h[1] for k in range(1, len(t)) if (h := self.near(t[k:] + t[:k], 0))}) == 1:
@@ -226,6 +235,75 @@ class Matcher:
         return entries.pop() if len(entries) == 1 else UNMATCHED
 
 
+#: A find: the text looked up, the radius (``_ENDED`` for ends of names), the edits, the name found, its entries.
+Find = tuple[str, int, int, str, list[str]]
+_ENDED = -1
+_FINDS = pa.list_(pa.struct([("text", pa.string()), ("radius", pa.int64()), ("edits", pa.int64()), ("name", pa.string()), ("entries", pa.list_(pa.string()))]))
+_FINDS_DDL = "array<struct<text:string,radius:bigint,edits:bigint,name:string,entries:array<string>>>"
+
+
+class Shard(Matcher):
+    """Some names of a list. No lookup is answered while a value is read, so every lookup that a
+    reading can come to is made, whatever other shards hold."""
+
+    def finds(self, value: str) -> list[Find]:
+        self.asked: dict[tuple[str, int], list[Find]] = {}
+        self.entry(value)
+        return [f for found in self.asked.values() for f in found]
+
+    def closest(self, text: str, r: int) -> None:
+        if (text, r) not in self.asked:
+            best, names = super().closest(text, r) or (0, {})
+            self.asked[text, r] = [(text, r, best, w, sorted(e)) for w, e in names.items()]
+
+    def ended(self, text: str) -> set[str]:
+        if e := super().ended(text):
+            self.asked[text, _ENDED] = [(text, _ENDED, 0, text, sorted(e))]
+        return set()
+
+
+class Recalled(Matcher):
+    """Answers a value's lookups from the finds of all shards as one tree of all names would."""
+
+    def __init__(self, finds: list[Find], families: list[str], parts: bool):
+        super().__init__([], families, parts)
+        self.found: dict[tuple[str, int], tuple[int, dict[str, set[str]]]] = {}
+        for text, r, edits, name, entries in finds:
+            best, names = self.found.get((text, r), (edits, {}))
+            if edits < best:
+                best, names = edits, {}
+            if edits == best:
+                names.setdefault(name, set()).update(entries)
+            self.found[text, r] = best, names
+        self.longest = max((len(text) for text, _ in self.found), default=0)
+
+    def closest(self, text: str, r: int) -> tuple[int, dict[str, set[str]]] | None:
+        return self.found.get((text, r))
+
+    def ended(self, text: str) -> set[str]:
+        return set().union(*self.found.get((text, _ENDED), (0, {}))[1].values())
+
+
+def _finding(make: Callable[[], Shard]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys = make(), [f.name for f in _FINDS.value_type]
+        for b in batches:
+            finds = [[dict(zip(keys, f, strict=True)) for f in shard.finds(v)] for v in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(finds, _FINDS)], ["value", "finds"])
+
+    return run
+
+
+def _recalling(families: list[str], parts: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, finds = b.column(0), ([tuple(f.values()) for f in of] for of in b.column(1).to_pylist())
+            entries = [Recalled(f, families, parts).entry(v) for v, f in zip(values.to_pylist(), finds, strict=True)]
+            yield pa.RecordBatch.from_arrays([values, pa.array(entries, pa.string())], ["value", "canonical"])
+
+    return run
+
+
 def _matching(make: Callable[[], Matcher]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = make()
@@ -248,19 +326,16 @@ def match_values(values: DataFrame, names: DataFrame, families: list[str], *, pa
     distinct = values.where("value is not null").select("value").distinct().repartition(tasks)
     names = names.where("name is not null and entry is not null").select("name", "entry").distinct()
     shards = max(1, -(-names.count() // shard_forms))
-    parts_out = []
-    for k in range(shards):
+
+    def held(k: int):
         # At most about ``shard_forms`` names reach the driver at a time.
-        held = sc.broadcast([(r.name, r.entry) for r in names.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == k).collect()])
-        parts_out.append(distinct.mapInArrow(_matching(lambda held=held: Matcher(held.value, families, parts)), "value string, canonical string"))
+        return sc.broadcast([(r.name, r.entry) for r in names.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == k).collect()])
+
     if shards == 1:
-        return parts_out[0]
-    found = parts_out[0]
-    for p in parts_out[1:]:
-        found = found.unionByName(p)
-    # Merge of the shards' winners: a value with one meaning across shards keeps it.
-    real = F.when(F.col("canonical") != UNMATCHED, F.col("canonical"))
-    return found.groupBy("value").agg(F.when(F.min(real) == F.max(real), F.min(real)).otherwise(F.lit(UNMATCHED)).alias("canonical"))
+        return distinct.mapInArrow(_matching(lambda all_names=held(0): Matcher(all_names.value, families, parts)), "value string, canonical string")
+    found = [distinct.mapInArrow(_finding(lambda some=held(k): Shard(some.value, families, parts)), f"value string, finds {_FINDS_DDL}") for k in range(shards)]
+    of_all = reduce(DataFrame.unionByName, found).groupBy("value").agg(F.flatten(F.collect_list("finds")).alias("finds"))
+    return of_all.mapInArrow(_recalling(families, parts), "value string, canonical string")
 
 
 def canonical_values(rows: DataFrame, key: str, field: str, names: DataFrame, entries: DataFrame, families: list[str], *, parts: bool) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from shelfmark.llm.canonical import UNMATCHED, BKTree, Matcher, canonical_values, distance, match_values, plain
+from shelfmark.llm.canonical import UNMATCHED, BKTree, Matcher, Recalled, Shard, canonical_values, distance, match_values, plain
 
 WORDS = st.text("abc", max_size=6)
 
@@ -76,3 +76,26 @@ def test_rows_and_shards(spark):
     assert {tuple(r) for r in match_values(typed, names, [], parts=False, shard_forms=2).collect()} == one
     assert {r.canonical for r in match_values(typed, names.limit(0), [], parts=False).collect()} == {UNMATCHED}
     assert plain("Ａ™b") == "ab"
+
+
+def test_shards_decide_as_one_tree(spark):
+    """Names one edit apart, the same name with two entries, and ties, each spread over different shards."""
+    near = [("abcdefgh", "1"), ("abcdefgx", "2"), ("abcdefxh", "3"), ("mnopqrs", "4"), ("mnopqrz", "5"), ("Mnopqrs!", "6"), ("uvwxyzab", "7")]
+    typed = ["abcdefgh", "abcdefgx", "ABCDEFXH", "abcdefzz", "abcdefg", "mnopqrs", "mnopqrz", "uvwxyzaa", "none"]
+    names = spark.createDataFrame(near, "name string, entry string")
+    values = spark.createDataFrame([(v,) for v in typed], "value string")
+    want = {v: Matcher(near, [], False).entry(v) for v in typed}
+    assert want["abcdefgh"] == "1" and want["abcdefgx"] == "2" and want["mnopqrs"] == UNMATCHED
+    for n in (1, 3, 100):
+        assert {r.value: r.canonical for r in match_values(values, names, [], parts=False, shard_forms=n).collect()} == want
+
+
+HAN = st.text("水壶热电箱头", min_size=1, max_size=7)
+NAMES = st.lists(st.tuples(st.one_of(HAN, st.text("abc ", min_size=3, max_size=9)), st.sampled_from("XYZW"), st.integers(0, 2)), max_size=14)
+
+
+@given(NAMES, st.one_of(HAN, st.text("abc -", max_size=12), st.text("水壶热电ab/ ", max_size=14)), st.booleans())
+def test_finds_of_shards_against_one_matcher(names, value, parts):
+    families = ["热水", "ab"]
+    finds = [f for k in range(3) for f in Shard([(n, e) for n, e, s in names if s == k], families, parts).finds(value)]
+    assert Recalled(finds, families, parts).entry(value) == Matcher([(n, e) for n, e, _ in names], families, parts).entry(value)
