@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -85,37 +86,94 @@ def facts(title: str | None, description: str | None, parameters: list[tuple[str
     return out
 
 
-def _reader(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries = {plain(n): e for n, e in held.value if n and len(n) > 1}
-        direct = re.compile("|".join(sorted(map(re.escape, entries), key=len, reverse=True)) or r"(?!)")
+#: Where a listing names its maker, best first: a parameter before the title, the earlier parameter, the earlier and then
+#: the longer name of the title; of names that read the same, the last of the list.
+RANK_DDL = "struct<title:boolean,at:bigint,shorter:bigint,before:bigint>"
+STATED_DDL = f"idx bigint, rank {RANK_DDL}, entry string"
+_STATED_AT = pa.schema([("idx", pa.int64()), ("rank", pa.struct([("title", pa.bool_()), ("at", pa.int64()), ("shorter", pa.int64()), ("before", pa.int64())])), ("entry", pa.string())])
+
+
+class Names:
+    """Names of makers as they stand in parameters and titles. ``names`` has the name, its entry and its place in the list."""
+
+    def __init__(self, names: list[tuple[str, str, int]]):
+        self.of: dict[str, tuple[int, str]] = {}
+        for name, entry, at in names:
+            if name and len(name) > 1 and (form := plain(name)):
+                self.of[form] = max(self.of.get(form, (at, entry)), (at, entry), key=lambda x: x[0])
+        sizes: dict[str, set[int]] = {}
+        for form in self.of:
+            sizes.setdefault(form[0], set()).add(len(form))
+        self.sizes = {c: sorted(n, reverse=True) for c, n in sizes.items()}
 
-        def stated(row: dict) -> str | None:
-            """The maker that the parameters or the title name as the list does."""
-            for k, v in row["parameters"] or []:
-                if k and v and k.casefold() in MAKER_KEYS and (e := entries.get(plain(v))):
-                    return e
-            m = direct.search(tidy(row["title"]))
-            return entries[m[0]] if m else None
+    def stated(self, title: str | None, parameters: list[tuple[str, str | None]]) -> tuple[tuple[bool, int, int, int], str] | None:
+        """The maker that the parameters or the title name as the list does, and the rank of that place."""
+        for k, (key, v) in enumerate(parameters):
+            if key and v and key.casefold() in MAKER_KEYS and (hit := self.of.get(plain(v))):
+                return (False, k, 0, -hit[0]), hit[1]
+        text = tidy(title)
+        for at, c in enumerate(text):
+            for size in self.sizes.get(c, ()):
+                if hit := self.of.get(text[at : at + size]):
+                    return (True, at, -size, -hit[0]), hit[1]
+        return None
 
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in bounded(batches, 2, 1 << 20):
+        rows = b.to_pylist()
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([facts(r["title"], r["description"], r["parameters"] or []) for r in rows], FACTS.field("tokens").type), b.column(4)], schema=pa.schema([FACTS.field(c) for c in ("idx", "tokens", "brand")]))
+
+
+def _reader(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Names(held.value)
         for b in bounded(batches, 2, 1 << 20):
             rows = b.to_pylist()
-            cells = [facts(r["title"], r["description"], r["parameters"] or []) for r in rows], [r["brand"] for r in rows], [stated(r) for r in rows]
+            stated = [names.stated(r["title"], r["parameters"] or []) for r in rows]
+            cells = [facts(r["title"], r["description"], r["parameters"] or []) for r in rows], [r["brand"] for r in rows], [s and s[1] for s in stated]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, f.type) for c, f in zip(cells, list(FACTS)[1:], strict=True)]], schema=FACTS)
 
     return run
 
 
-def listing_tokens(products: DataFrame, makers: DataFrame, *, limit: int = 50_000) -> DataFrame:
-    """``idx, tokens`` of each listing. ``makers`` has ``name, entry``.
+def _finder(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, keys = Names(held.value), [f.name for f in _STATED_AT.field("rank").type]
+        for b in bounded(batches, 1, 1 << 20):
+            rows = [(r["idx"], dict(zip(keys, s[0], strict=True)), s[1]) for r in b.to_pylist() if (s := names.stated(r["title"], r["parameters"] or []))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STATED_AT, strict=True)], schema=_STATED_AT)
+
+    return run
+
+
+def listing_tokens(products: DataFrame, makers: DataFrame, *, limit: int | None = None, block: int = 50_000) -> DataFrame:
+    """``idx, tokens`` of each listing, ``idx`` being unique. ``makers`` has ``name, entry``.
 
     The maker is the entry the typed brand means, each different brand being searched once; else the one
-    that parameters or title name. Beyond ``limit`` names the latter is left out.
+    that parameters or title name. For the latter ``block`` names at a time are broadcast; of the blocks' finds the one
+    that stands first is kept. Only a caller who sets ``limit`` has it left out beyond so many names.
     """
-    names = [(r.name, r.entry) for r in makers.limit(limit + 1).collect()]
-    held = products.sparkSession.sparkContext.broadcast(names if len(names) <= limit else [])
+    sc = products.sparkSession.sparkContext
+    # The place in the list goes along, so that blocks decide as one list does.
+    placed = makers.select("name", "entry").withColumn("at", F.monotonically_increasing_id())
+    count = makers.count()
+    searched = limit is None or count <= limit
+    blocks = max(1, -(-count // block)) if searched else 1
+
+    def held(k: int):
+        some = placed.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == k) if searched else placed.limit(0)
+        return sc.broadcast([tuple(r) for r in some.collect()])
+
     cols = products.select(F.col("idx").cast("bigint").alias("idx"), "title", "description", "parameters", "brand")
-    read = cols.mapInArrow(_reader(held), "idx bigint, tokens array<string>, brand string, stated string")
+    if blocks == 1:
+        read = cols.mapInArrow(_reader(held(0)), "idx bigint, tokens array<string>, brand string, stated string")
+    else:
+        places = cols.select("idx", "title", "parameters")
+        found = reduce(DataFrame.unionByName, [places.mapInArrow(_finder(held(k)), STATED_DDL) for k in range(blocks)])
+        stated = found.groupBy("idx").agg(F.min_by("entry", "rank").alias("stated"))
+        read = cols.mapInArrow(_read, "idx bigint, tokens array<string>, brand string").join(stated, "idx", "left")
     typed = match_values(products.select(F.col("brand").alias("value")), makers, [], parts=False).where(F.col("canonical") != UNMATCHED)
     maker = F.coalesce("canonical", "stated")
     tokens = F.when(maker.isNotNull(), F.array_append("tokens", F.concat(F.lit("b:"), maker))).otherwise(F.col("tokens"))

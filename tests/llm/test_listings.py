@@ -25,6 +25,23 @@ def test_makers(spark):
     assert {r.idx: r.tokens for r in listing_tokens(products, makers, limit=1).collect()} == {1: [], 2: [], 3: ["b:Cassobras"], 4: []}
 
 
+def test_makers_beyond_one_block(spark):
+    """What parameters and titles name is found however many names there are: one block, a block a name, past the old 50,000."""
+    rows = [
+        (1, "t", None, {"Brand": "珂鸥岚"}, "OEM"), (2, "x Rasobpol Cassobras", None, None, None), (3, "Cassobras Plus y", None, {"品牌": "?"}, None), (4, None, None, None, " "), (5, "none", None, None, "Rasobpol"),
+        (6, "Rasobpol", None, {"brand": "nobody", "品牌": "Cassobras"}, None), (7, "twice", None, None, None),
+    ]
+    products = spark.createDataFrame(rows, "idx bigint, title string, description string, parameters map<string,string>, brand string")
+    few = [("Cassobras", "Cassobras"), ("珂鸥岚", "Cassobras"), ("Rasobpol", "Rasobpol"), ("Cassobras Plus", "Plus"), ("Twice", "A"), ("TWICE", "B")]
+    want = {1: ["b:Cassobras"], 2: ["b:Rasobpol"], 3: ["b:Plus"], 4: [], 5: ["b:Rasobpol"], 6: ["b:Cassobras"], 7: ["b:B"]}
+    for block in (1, 2, 50_000):
+        assert {r.idx: r.tokens for r in listing_tokens(products, spark.createDataFrame(few, "name string, entry string"), block=block).collect()} == want
+    filler = spark.range(50_000).selectExpr("concat('#', id, 'filler') as name", "'filler' as entry")
+    some = products.where("brand is null").limit(9)
+    many = spark.createDataFrame(few, "name string, entry string").coalesce(1).unionByName(filler)
+    assert {r.idx: r.tokens for r in listing_tokens(some, many).collect()} == {i: want[i] for i in (2, 3, 6, 7)}
+
+
 def weight(tokens):
     return sum(WEIGHTS[t[0]] for t in tokens)
 
