@@ -2,8 +2,9 @@
 
 A page's text is a tree: blocks between empty lines, lines, and the leading part of a line. Every element
 is hashed without what varies (numbers, link targets, the site's own name). An element that recurs
-on many pages of the hosts where it occurs at all is part of their template; article text that
-recurs (section headings, stock phrases) is spread thinly over all hosts instead.
+on many pages of a host is part of its template; article text that recurs (section headings,
+stock phrases) is spread thinly over all hosts instead. Where a host's pages are too few to tell one
+from the other, the hosts where the element occurs decide, one vote each, however large.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.plans.runtime import bounded
 
-#: Share of a host's pages on which an element must recur, over the hosts where it occurs at all.
+#: Share of a host's pages on which an element must recur.
 SHARE = 0.2
+#: Standard deviations beyond the share, or below half of it, at which a host's own count decides: article text that
+#: recurs stands on an eighth of the pages, so nearer counts come about by chance.
+CLEAR = 3.0
 #: Pages with other articles on which it must stand, and pages a host needs to be counted.
 PAGES, HOST_PAGES = 3, 5
 
@@ -98,16 +102,30 @@ def page_lines(own: DataFrame) -> DataFrame:
 
 
 def template_elements(own: DataFrame, lines: DataFrame, share: float = SHARE, pages: int = PAGES, host_pages: int = HOST_PAGES) -> DataFrame:
-    """``element``: the hashes of elements that belong to templates.
+    """``element, voted, other``: whether the hosts' votes make the element a part of templates, and the hosts that decide otherwise on their own count.
 
-    Pages are counted by their article, so a page read again, or under two addresses, counts once. The count
-    is by element and host before it is summed by element: no host, however large, meets in one task.
+    Elements that no host has in its template are left out. Hosts of fewer than ``pages / share`` pages, on which the share is
+    less than ``pages``, vote together: each casts what their summed counts say. Pages are counted by their article, so a page
+    read again, or under two addresses, counts once. The count is by element and host before it is gathered by element: no
+    host, however large, meets in one task.
     """
-    sized = own.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= host_pages)
+    n, k = F.col("n"), F.col("k")
+    sized = own.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("n")).where(n >= host_pages)
     elements = lines.select("host", "article", F.explode(F.array("shape", "part")).alias("element")).where("element is not null").distinct()
     per_host = elements.groupBy("element", "host").agg(F.count("*").alias("k"))
-    counted = per_host.join(sized, "host").groupBy("element").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    return counted.where((F.col("k") >= pages) & (F.col("k") >= share * F.col("n"))).select("element")
+    beyond = lambda p: CLEAR * F.sqrt(p * (1 - p) * n)
+    # Only hosts where the element occurs are seen: on few pages that alone lifts the count that the share leads to.
+    least = share * n / (1 - F.pow(1 - F.lit(share), n))
+    clear = F.when((k >= pages) & (k >= share * n + beyond(share)), True).when(k < share / 2 * n - beyond(share / 2), False)
+    small = n < pages / share
+    counted = per_host.join(sized, "host").withColumns({"clear": clear, "small": small}).groupBy("element").agg(
+        F.sum("k").alias("k"), F.count("*").alias("hosts"), F.count_if(~F.col("small") & (k >= share * n)).alias("yes"),
+        F.count_if("small").alias("together"), F.coalesce(F.sum(F.when(F.col("small"), k - least)), F.lit(0.0)).alias("over"),
+        F.collect_list(F.when(F.col("clear"), F.col("host"))).alias("do"), F.collect_list(F.when(~F.col("clear"), F.col("host"))).alias("do_not"),
+    )
+    voted = (k >= pages) & (2 * (F.col("yes") + F.when(F.col("over") >= 0, F.col("together")).otherwise(0)) > F.col("hosts"))
+    decided = counted.withColumn("voted", voted).select("element", "voted", F.when(F.col("voted"), F.col("do_not")).otherwise(F.col("do")).alias("other"))
+    return decided.where(F.col("voted") | (F.size("other") > 0))
 
 
 def article_lines(pages: DataFrame) -> DataFrame:
@@ -120,10 +138,9 @@ def article_lines(pages: DataFrame) -> DataFrame:
     own = read_pages(pages)
     lines = page_lines(own)
     known = template_elements(own, lines)
-    marked = (
-        lines.select("result_id", "line_no", "block", "shape", "part")
-        .join(known.withColumnsRenamed({"element": "shape"}).withColumn("a", F.lit(1)), "shape", "left")
-        .join(known.withColumnsRenamed({"element": "part"}).withColumn("b", F.lit(1)), "part", "left")
-    )
+    goes = F.when(F.col("voted") != F.array_contains("other", F.col("host")), 1)
+    marked = lines.select("result_id", "line_no", "block", "host", "shape", "part")
+    for c, mark in (("shape", "a"), ("part", "b")):
+        marked = marked.join(known.withColumnRenamed("element", c), c, "left").withColumn(mark, goes).drop("voted", "other")
     so_far = Window.partitionBy("result_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("gone", F.max(F.coalesce("a", "b")).over(so_far)).where("gone is null").select("result_id", "line_no")

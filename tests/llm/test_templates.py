@@ -53,3 +53,17 @@ def test_hosts_and_shapes(spark):
     assert shape("| a | b |", "h") == ("", None)
     assert shape("(c) 2025 h.test Ltd, all", "h.test") == ("(c) 0 @ Ltd, all", "(c) 0 @ Ltd")
     assert shape("Address: Mill Road 7", "h.test") == ("Address: Mill Road 0", "Address:")
+
+
+def test_no_host_decides_for_others(spark):
+    def pages(host, n, said):
+        return [(None, f"https://{host}/{i}", f"{host} {chr(65 + i % 26)}{chr(65 + i // 26)}", "# {t}\n\n" + f"Body of {host} {chr(65 + i % 26)}{chr(65 + i // 26)}." + (f"\n\n{said(i)}" if said(i) else ""), 0, "x") for i in range(n)]
+
+    small = [f"s{chr(97 + j)}.test" for j in range(4)]
+    # "Accept all" is on every page of the small hosts and on one of the large; "Well made" on every page of the large and on one of each small.
+    rows = [r for h in small for r in pages(h, 16, lambda i: "Accept all" + ("\n\nWell made" if i == 3 else ""))] + pages("large.test", 300, lambda i: "Well made" + ("\n\nAccept all" if i == 3 else "")) + pages("tail.test", 1, lambda i: "Accept all")
+    rows = [(k, u, t, text.replace("{t}", t), *rest) for k, (_, u, t, text, *rest) in enumerate(rows)]
+    got = kept(spark, rows)
+    for k, (_, u, _, text, *_) in enumerate(rows):
+        goes = "Well made" if "large" in u else "Accept all"
+        assert got[k] == {i for i, x in enumerate(text.split("\n")) if x and x != goes}, (u, text)
