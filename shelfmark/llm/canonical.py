@@ -155,9 +155,11 @@ class Matcher:
                         self.ends.setdefault(form[:k], set()).update(entries)
 
     def closest(self, text: str, r: int) -> tuple[int, dict[str, set[str]]] | None:
-        """Edits to the closest names within ``r``, and the entries of each; None if there is none."""
+        """Edits to the closest names within ``r``, and the entries of each; None if there is none. A name itself is looked up at once."""
+        if text in self.of:
+            return 0, {text: self.of[text]}
         known: dict[str, int] = {}
-        for k in sorted({0, min(1, r), r}):
+        for k in sorted({min(1, r), r} - {0}):
             if found := self.tree.within(text, k, known):
                 best = min(d for d, _ in found)
                 return best, {w: self.of[w] for d, w in found if d == best}

@@ -1,8 +1,10 @@
 """Problem 4: listings of the same product in different words.
 
-Each listing becomes a small set of normalised, weighted tokens: the maker's model, its edition, the
-decisive value in base units, the maker. Listings with equal sets form a class; the classes are joined
-by weighted containment with prefix, length and positional filters, and grouped into stars.
+Title, description and parameters are read as words, numbers joined to the word before them (a maker's
+series and number, of whatever shape), what follows such a number (its edition), quantities in base units, and the
+maker. A listing that names no number is known by its words. The tokens are weighed by their rarity over all
+listings; listings with equal sets form a class; the classes are joined by weighted containment with prefix,
+length and positional filters, checked exactly, and grouped into stars.
 """
 
 from __future__ import annotations
@@ -25,67 +27,86 @@ UNITS = {
     "m": ("mm", 1000), "米": ("mm", 1000), "cm": ("mm", 10), "厘米": ("mm", 10), "mm": ("mm", 1), "毫米": ("mm", 1),
     "w": ("w", 1), "瓦": ("w", 1), "kw": ("w", 1000), "千瓦": ("w", 1000),
     "mah": ("mah", 1), "毫安时": ("mah", 1), "毫安": ("mah", 1), "ah": ("mah", 1000), "安时": ("mah", 1000),
-    "lm": ("lm", 1), "流明": ("lm", 1),
+    "lm": ("lm", 1), "流明": ("lm", 1), "gb": ("gb", 1), "tb": ("gb", 1000), "inch": ("in", 1), "英寸": ("in", 1),
 }
-# Words for editions and the edition they mean.
-EDITIONS = {"迷你": "mini", "专业": "pro", "升级": "plus", "青春": "lite", "旗舰": "max"}
+# Words that tell editions of one model apart, and Chinese words and numerals for the same.
+EDITIONS = ("pro max", "pro", "max", "mini", "plus", "lite", "ultra", "se", "air", "fe")
+VERSIONS = {"迷你": "mini", "专业": "pro", "青春": "lite"}
 NUMERALS = {"一": "1", "二": "2", "两": "2", "三": "3", "四": "4", "五": "5", "六": "6"}
-MODEL_KEYS = ("型号", "产品型号", "model")
+# What is counted rather than measured; a number before it names no model.
+COUNTED = "次遍周天年月日个件只条台套层档分秒折元位人"
 MAKER_KEYS = ("brand", "品牌")
 
 _UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
-_VALUE = re.compile(rf"(?<![\d.])(\d+(?:\.\d+)?)\s*({_UNIT})(?![a-z])")
-_MODEL = re.compile(
-    r"((?<![a-z])[a-z]{3,12}|[一-鿿]{2})[\s\-]*(\d{4})(?!\d|\.\d)"
-    rf"(?!\s*(?:{_UNIT})(?![a-z]))"
-    r"(?:[\s\-]*(?:(pro|max|mini|plus|lite|ultra|se|air)(?![a-z])|(?:gen|mk|ver)[\s.\-]*(\d+)|第?\s*([一二两三四五六]|\d)\s*代|(迷你|专业|青春)版))?"
-)
-_STATED = re.compile(rf"(?:标称|规格为|rated at|本链接为|额定|净含量)\s*(\d[\d.]*\s*(?:{_UNIT}))(?![a-z])")
-_NAMED = re.compile(r"(?:型号|model|本款为)\s*[^,。.;]{0,40}|[^,。.;]{0,40}是这一系列")
-
-#: Weights of the tokens. Of the smaller set's weight, CONTAINMENT must be shared, the model always:
-#: a maker not told leaves a pair together; another edition, value or maker parts it.
-WEIGHTS = {"m": 4.0, "e": 3.0, "v": 3.0, "b": 2.0}
-CONTAINMENT = 0.9
-
-FACTS = pa.schema([("idx", pa.int64()), ("tokens", pa.list_(pa.string())), ("brand", pa.string()), ("stated", pa.string())])
-
-
-def values_in(text: str) -> list[str]:
-    return [f"v:{UNITS[u][0]}:{round(float(n) * UNITS[u][1], 3):g}" for n, u in _VALUE.findall(text)]
-
-
-def models_in(text: str) -> list[tuple[str, str]]:
-    out = []
-    for m in _MODEL.finditer(text):
-        word, gen, generation, version = m[3], m[4], m[5], m[6]
-        edition = word or (f"gen{gen or NUMERALS.get(generation, generation)}" if gen or generation else EDITIONS[version] if version else "")
-        out.append((f"m:{m[1]}{m[2]}", f"e:{edition}"))
-    return out
+_VALUE = re.compile(rf"(?<![a-z\d.])(\d+(?:\.\d+)?)\s*({_UNIT})(?![a-z])")
+_EDITION = re.compile(rf"[\s\-]*(?:({'|'.join(e.replace(' ', chr(92) + 's+') for e in EDITIONS)})(?![a-z])|(?:gen|mk|ver)[\s.\-]*(\d+)|第?\s*([{''.join(NUMERALS)}]|\d)\s*代|({'|'.join(VERSIONS)})版)")
+#: A word, or the last two characters of a Han run, with the number it carries: "wh-1000xm5", "iphone 15", "v15".
+_CODE = re.compile(r"((?<![a-z])(?!(?:gen|mk|ver|x)[\s.\-]*\d)[a-z]+|[一-鿿]{2})[\s\-]*(\d+(?:[a-z]+\d+)*(?:[a-z](?![a-z]))?)(?!\d|\.\d)")
+#: Small numbers that count: before a measure word, and in prose before a plural.
+_COUNT, _PLURAL = re.compile(rf"(?<!\d)\d{{1,3}}[{COUNTED}]"), re.compile(r"\b\d{1,3}\s+[a-z]+s\b")
+#: Numbers so long are those of trade items or of a shop's own articles.
+ITEM_DIGITS = 7
+_WORDS = re.compile(r"[a-z]+|[一-鿿]+|\d+")
+
+#: Prior weights of the kinds of token: code, edition, quantity, maker, word; each is multiplied by the square of the token's rarity.
+WEIGHTS = {"c": 4.0, "s": 3.0, "q": 3.0, "b": 2.0, "w": 1.0}
+#: Of the smaller set's weight so much must be shared; a pair that shares no code must share tokens whose rarities add up to EVIDENCE.
+CONTAINMENT, EVIDENCE = 0.7, 2.0
+
+FACTS_DDL = "codes array<struct<code:string,editions:array<string>,fields:int,head:boolean,at:int>>, tokens array<string>"
+_CODES = pa.list_(pa.struct([("code", pa.string()), ("editions", pa.list_(pa.string())), ("fields", pa.int32()), ("head", pa.bool_()), ("at", pa.int32())]))
+_TOKENS = pa.list_(pa.string())
 
 
 def tidy(text: str | None) -> str:
     return re.sub(r"[【】\[\]]", "", plain(text)) if text else ""
 
 
-def facts(title: str | None, description: str | None, parameters: list[tuple[str, str | None]]) -> list[str]:
-    """The tokens of one listing but its maker; what the parameters state goes before the title, the title before the description."""
-    head, body = tidy(title), tidy(description)
-    pairs = [(k.casefold(), tidy(v)) for k, v in parameters if k and v]
-    models = [x for k, v in pairs if k in MODEL_KEYS for x in models_in(v)] + models_in(head) + [x for s in _NAMED.findall(body) for x in models_in(s)]
-    values = [x for k, v in pairs if k not in MODEL_KEYS for x in values_in(v)[:1]] + [x for s in _STATED.findall(body) for x in values_in(s)] + values_in(head)
-    out = []
-    if models:
-        # The title may name more than the model; a model that two places agree on is the listing's.
-        names = [m for m, _ in models]
-        model = max(names, key=lambda m: (names.count(m), -names.index(m)))
-        edition = next((e for m, e in models if m == model and e != "e:"), "e:")
-        out += [model, edition]
-    if values:
-        out.append(max(values, key=lambda v: (values.count(v), -values.index(v))))
+def quantities_in(text: str) -> set[str]:
+    """Quantities in base units: ``q:ml:250``."""
+    return {f"q:{UNITS[u][0]}:{round(float(n) * UNITS[u][1], 3):g}" for n, u in _VALUE.findall(text)}
+
+
+def codes_in(text: str, prose: bool) -> dict[str, set[str]]:
+    """Every word with the number it carries, and the editions named behind it. ``text`` is lower case in one form."""
+    out: dict[str, set[str]] = {}
+    if not any(c.isdigit() for c in text):
+        return out
+    text = _COUNT.sub(";", _VALUE.sub(";", text))
+    if prose:
+        text = _PLURAL.sub(";", text)
+    for m in _CODE.finditer(text):
+        if len(m[2]) >= ITEM_DIGITS and m[2].isdigit():
+            continue
+        held = out.setdefault(m[1] + m[2], set())
+        if e := _EDITION.match(text, m.end()):
+            word, gen, generation, version = e.groups()
+            held.add(" ".join(word.split()) if word else VERSIONS[version] if version else f"gen{gen or NUMERALS.get(generation, generation)}")
     return out
 
 
+def facts(title: str | None, description: str | None, parameters: list[tuple[str, str | None]]) -> tuple[list[dict], list[str]]:
+    """The codes a listing names, each with its editions, how many fields name it, and whether title or parameters do; and its
+    other tokens: quantities, and its words if it names no code."""
+    head = [tidy(title), *[tidy(v) for k, v in parameters if v]]
+    body = tidy(description)
+    codes: dict[str, dict] = {}
+    quantities: set[str] = set()
+    for n, text in enumerate([*head, body]):
+        quantities |= quantities_in(text)
+        for code, editions in codes_in(text, n == len(head)).items():
+            c = codes.setdefault(code, {"code": code, "editions": set(), "fields": 0, "head": n < len(head), "at": len(codes)})
+            c["editions"] |= editions
+            c["fields"] += 1
+    for c in codes.values():
+        c["editions"] = sorted(c["editions"])
+    words: set[str] = set()
+    if not codes:
+        for text in head:
+            words |= {f"w:{x}" for w in _WORDS.findall(_VALUE.sub(";", text)) for x in ([w] if len(w) < 3 or w.isascii() else [w[k : k + 2] for k in range(len(w) - 1)])}
+    return list(codes.values()), sorted(quantities | words)
+
+
 #: Where a listing names its maker, best first: a parameter before the title, the earlier parameter, the earlier and then
 #: the longer name of the title; of names that read the same, the last of the list.
 RANK_DDL = "struct<title:boolean,at:bigint,shorter:bigint,before:bigint>"
@@ -119,10 +140,14 @@ class Names:
         return None
 
 
+def _cells(rows: list[dict]) -> list[pa.Array]:
+    found = [facts(r["title"], r["description"], r["parameters"] or []) for r in rows]
+    return [pa.array([c for c, _ in found], _CODES), pa.array([t for _, t in found], _TOKENS)]
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in bounded(batches, 2, 1 << 20):
-        rows = b.to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([facts(r["title"], r["description"], r["parameters"] or []) for r in rows], FACTS.field("tokens").type), b.column(4)], schema=pa.schema([FACTS.field(c) for c in ("idx", "tokens", "brand")]))
+        yield pa.RecordBatch.from_arrays([b.column(0), *_cells(b.to_pylist()), b.column(4)], ["idx", "codes", "tokens", "brand"])
 
 
 def _reader(held):
@@ -131,8 +156,7 @@ def _reader(held):
         for b in bounded(batches, 2, 1 << 20):
             rows = b.to_pylist()
             stated = [names.stated(r["title"], r["parameters"] or []) for r in rows]
-            cells = [facts(r["title"], r["description"], r["parameters"] or []) for r in rows], [r["brand"] for r in rows], [s and s[1] for s in stated]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, f.type) for c, f in zip(cells, list(FACTS)[1:], strict=True)]], schema=FACTS)
+            yield pa.RecordBatch.from_arrays([b.column(0), *_cells(rows), b.column(4), pa.array([s and s[1] for s in stated], pa.string())], ["idx", "codes", "tokens", "brand", "stated"])
 
     return run
 
@@ -148,8 +172,8 @@ def _finder(held):
     return run
 
 
-def listing_tokens(products: DataFrame, makers: DataFrame, *, limit: int | None = None, block: int = 50_000) -> DataFrame:
-    """``idx, tokens`` of each listing, ``idx`` being unique. ``makers`` has ``name, entry``.
+def listing_facts(products: DataFrame, makers: DataFrame, *, limit: int | None = None, block: int = 50_000) -> DataFrame:
+    """``idx, codes, tokens`` of each listing, ``idx`` being unique; the maker is among the tokens. ``makers`` has ``name, entry``.
 
     The maker is the entry the typed brand means, each different brand being searched once; else the one
     that parameters or title name. For the latter ``block`` names at a time are broadcast; of the blocks' finds the one
@@ -168,51 +192,98 @@ def listing_tokens(products: DataFrame, makers: DataFrame, *, limit: int | None
 
     cols = products.select(F.col("idx").cast("bigint").alias("idx"), "title", "description", "parameters", "brand")
     if blocks == 1:
-        read = cols.mapInArrow(_reader(held(0)), "idx bigint, tokens array<string>, brand string, stated string")
+        read = cols.mapInArrow(_reader(held(0)), f"idx bigint, {FACTS_DDL}, brand string, stated string")
     else:
         places = cols.select("idx", "title", "parameters")
         found = reduce(DataFrame.unionByName, [places.mapInArrow(_finder(held(k)), STATED_DDL) for k in range(blocks)])
         stated = found.groupBy("idx").agg(F.min_by("entry", "rank").alias("stated"))
-        read = cols.mapInArrow(_read, "idx bigint, tokens array<string>, brand string").join(stated, "idx", "left")
+        read = cols.mapInArrow(_read, f"idx bigint, {FACTS_DDL}, brand string").join(stated, "idx", "left")
     typed = match_values(products.select(F.col("brand").alias("value")), makers, [], parts=False).where(F.col("canonical") != UNMATCHED)
     maker = F.coalesce("canonical", "stated")
     tokens = F.when(maker.isNotNull(), F.array_append("tokens", F.concat(F.lit("b:"), maker))).otherwise(F.col("tokens"))
-    return read.join(typed.withColumnRenamed("value", "brand"), "brand", "left").select("idx", tokens.alias("tokens"))
+    return read.join(typed.withColumnRenamed("value", "brand"), "brand", "left").select("idx", "codes", tokens.alias("tokens"))
+
 
+def listing_tokens(facts_of: DataFrame) -> DataFrame:
+    """``idx, tokens`` from ``idx, codes, tokens``: of several codes a listing is known by one.
 
-def _weight(token: Column) -> Column:
+    That is the one named in most fields, then one of title or parameters, then one that other listings share, then
+    the rarest over all listings, then the first. Only listings with more than one code are shuffled for it.
+    """
+    key = F.struct(F.col("c.fields"), F.col("c.head"), F.coalesce(F.col("df") > 1, F.lit(False)), -F.coalesce("df", F.lit(0)), -F.col("c.at"))
+    several = facts_of.where(F.size("codes") > 1).select("idx", F.explode("codes").alias("c"))
+    df = facts_of.select(F.explode("codes.code").alias("code")).groupBy("code").agg(F.count("*").alias("df"))
+    chosen = several.withColumn("code", F.col("c.code")).join(df, "code").groupBy("idx").agg(F.max_by("c", key).alias("chosen"))
+    one = facts_of.join(chosen, "idx", "left").withColumn("c", F.coalesce("chosen", F.try_element_at("codes", F.lit(1))))
+    editions = F.when(F.size("c.editions") > 0, F.col("c.editions")).otherwise(F.array(F.lit("")))
+    own = F.concat(F.array(F.concat(F.lit("c:"), F.col("c.code"))), F.transform(editions, lambda e: F.concat(F.lit("s:"), F.col("c.code"), F.lit("+"), e)))
+    return one.select("idx", F.when(F.col("c").isNotNull(), F.concat(own, "tokens")).otherwise(F.col("tokens")).alias("tokens"))
+
+
+def _prior(token: Column) -> Column:
     out = F.lit(1.0)
     for k, w in WEIGHTS.items():
         out = F.when(token.startswith(f"{k}:"), F.lit(w)).otherwise(out)
     return out
 
 
-def containment_pairs(classes: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
-    """``a, b, shared, wa, wb`` of the classes (``id, tokens``) that share enough; ``a`` is the one of less weight that ``b`` contains.
+def weighted(classes: DataFrame) -> DataFrame:
+    """``id, t, weight``: the tokens of each class (``id, n, tokens``; ``n`` listings) as structs ``df, token, r, w``, the rarest first.
 
-    Tokens are ordered by rarity over all classes. Of the smaller set (the one that must be contained)
-    the shortest prefix is kept that leaves less than ``threshold`` of its weight; of the larger, the prefix
-    that leaves less than ``threshold`` of the least weight a partner can have. Any pair that passes shares a
-    token of both prefixes. Length and positional filters drop candidates before the exact check.
+    ``r`` is the rarity over all listings, 1 - log(df) / log(all), between 0 and 1 at any size of the corpus; the weight is the
+    prior of the token's kind times its square, a hundredth at least.
     """
-    floor = WEIGHTS["m"]
-    rarity = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    exploded = classes.select("id", F.explode("tokens").alias("token")).join(rarity, "token").withColumn("w", _weight(F.col("token")))
-    ordered = exploded.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token", "w"))).alias("t"))
-    total = F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["w"])
-    ordered = ordered.withColumn("weight", total).where(F.exists("t", lambda x: x["token"].startswith("m:")))
-    at = ordered.select("id", "weight", "t", F.posexplode("t").alias("pos", "x"))
+    exploded = classes.select("id", "n", F.explode("tokens").alias("token"))
+    df = exploded.groupBy("token").agg(F.sum("n").alias("df"))
+    size = classes.agg((F.coalesce(F.sum("n"), F.lit(0)) + 1).alias("all"))
+    r = 1 - F.log("df") / F.log("all")
+    known = df.join(F.broadcast(size), F.lit(True)).select("token", "df", r.alias("r"), (_prior(F.col("token")) * F.greatest(r * r, F.lit(0.01))).alias("w"))
+    t = exploded.join(known, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token", "r", "w"))).alias("t"))
+    return t.withColumn("weight", F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["w"]))
+
+
+def candidates(sets: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
+    """Pairs of classes that the filters let through, once each: ``p`` the lighter, ``q`` the heavier, with their sets.
+
+    Tokens stand in order of rarity. Of the lighter set the shortest prefix is probed behind which less than ``threshold`` of its
+    weight is left; of the heavier the prefix is indexed behind which less is left than the least such share of any set. Any pair that
+    passes has its first common token in both prefixes, and only there it is formed (positional filter: what is left from it on, in
+    either set, must reach the share; length filter: the heavier must weigh so much).
+    """
+    least = sets.agg(F.min("weight").alias("least"))
+    at = sets.select("id", "weight", "t", F.posexplode("t").alias("pos", "x"))
     before = F.aggregate(F.slice("t", 1, F.col("pos")), F.lit(0.0), lambda acc, x: acc + x["w"])
-    at = at.select("id", "weight", F.transform("t", lambda x: x["token"]).alias("tokens"), F.col("x.token").alias("token"), (F.col("weight") - before).alias("left"))
-    # ``left`` is the weight from this token on: the token is in the prefix while it reaches what must be shared.
-    probe = at.where(F.col("left") >= threshold * F.col("weight") - 1e-9).select("token", F.col("id").alias("p"), F.col("weight").alias("pw"), F.col("tokens").alias("pt"), F.col("left").alias("pl"))
-    index = at.where(F.col("left") >= threshold * floor - 1e-9).select("token", F.col("id").alias("q"), F.col("weight").alias("qw"), F.col("tokens").alias("qt"), F.col("left").alias("ql"))
+    at = at.select("id", "weight", "t", F.col("x.token").alias("token"), "pos", (F.col("weight") - before).alias("left"))
+    probe = at.where(F.col("left") >= threshold * F.col("weight") - 1e-9).select("token", F.col("id").alias("p"), F.col("weight").alias("pw"), F.col("t").alias("pt"), F.col("pos").alias("pp"), F.col("left").alias("pl"))
+    index = at.join(F.broadcast(least), F.lit(True)).where(F.col("left") >= threshold * F.col("least") - 1e-9)
+    index = index.select("token", F.col("id").alias("q"), F.col("weight").alias("qw"), F.col("t").alias("qt"), F.col("pos").alias("qp"), F.col("left").alias("ql"))
     near = probe.join(index, "token").where("p <> q and (pw < qw or (pw = qw and p < q))")
-    near = near.where(F.least("pl", "ql") >= threshold * F.col("pw") - 1e-9)
-    common = F.array_intersect("pt", "qt")
-    shared = F.aggregate(F.transform(common, _weight), F.lit(0.0), lambda acc, x: acc + x)
-    near = near.withColumn("shared", shared).where((F.col("shared") >= threshold * F.col("pw") - 1e-9) & F.exists(common, lambda x: x.startswith("m:")))
-    return near.select(F.col("p").alias("a"), F.col("q").alias("b"), "shared", F.col("pw").alias("wa"), F.col("qw").alias("wb")).distinct()
+    near = near.where((F.least("pl", "ql") >= threshold * F.col("pw") - 1e-9) & (F.col("qw") >= threshold * F.col("pw") - 1e-9))
+    names = lambda c, n: F.transform(F.slice(c, 1, F.col(n)), lambda x: x["token"])
+    return near.where(~F.arrays_overlap(names("pt", "pp"), names("qt", "qp"))).select("p", "pw", "pt", "q", "qw", "qt")
+
+
+def agreed(pairs: DataFrame, threshold: float = CONTAINMENT, evidence: float = EVIDENCE) -> DataFrame:
+    """``a, b, shared, wa, wb`` of the candidates that pass the exact check; ``a`` is the lighter set.
+
+    Enough of its weight is shared; a code is shared, or tokens of enough rarity; and the two don't contradict each other: no two
+    editions of a code, quantities of one dimension or makers without one in common.
+    """
+    tokens = lambda c: F.transform(c, lambda x: x["token"])
+    common = F.filter("pt", lambda x: F.array_contains(tokens("qt"), x["token"]))
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x[f])
+    same_code = F.exists("common", lambda x: x["token"].startswith("c:"))
+    both = pairs.withColumn("common", common).withColumn("shared", total("common", "w"))
+    both = both.where((F.col("shared") >= threshold * F.col("pw") - 1e-9) & (same_code | (total("common", "r") >= evidence)))
+    # What a token speaks of: the edition of a code, a dimension, the maker.
+    topics = lambda c: F.array_distinct(F.transform(F.filter(c, lambda x: ~x["token"].startswith("w:") & ~x["token"].startswith("c:")), lambda x: F.regexp_replace(F.regexp_extract(x["token"], r"^(s:[^+]*|q:[^:]*|b)", 1), r"^$", "?")))
+    met = F.array_except(F.array_intersect(topics("pt"), topics("qt")), topics("common"))
+    return both.where(F.size(met) == 0).select(F.col("p").alias("a"), F.col("q").alias("b"), "shared", F.col("pw").alias("wa"), F.col("qw").alias("wb"))
+
+
+def containment_pairs(sets: DataFrame, threshold: float = CONTAINMENT, evidence: float = EVIDENCE) -> DataFrame:
+    """``a, b, shared, wa, wb`` of the weighted sets that mean the same product; see ``candidates`` and ``agreed``."""
+    return agreed(candidates(sets, threshold), threshold, evidence)
 
 
 def stars(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -242,19 +313,23 @@ def stars(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return alone if done is None else done.select("id", "center").unionByName(alone)
 
 
+def telling(sets: DataFrame, evidence: float = EVIDENCE) -> DataFrame:
+    """The weighted sets that tell a product: those with a code, or with tokens of enough rarity. A quantity and a maker don't."""
+    rarity = F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["r"])
+    return sets.where(F.exists("t", lambda x: x["token"].startswith("c:")) | (rarity >= evidence))
+
+
 def product_groups(products: DataFrame, makers: DataFrame) -> DataFrame:
     """``idx, group_id``: the listings of one product have one ``group_id``.
 
-    A listing without a model number can't be told apart from others of its kind and stays alone.
-    Null and empty fields give no tokens. Equal listings, however many, are one class and are
-    compared once.
+    Null and empty fields give no tokens. A listing whose tokens don't tell a product stays alone. Equal sets of
+    tokens, however many listings have them, are one class and are compared once.
     """
-    tokens = cut(listing_tokens(products, makers))
-    keyed = tokens.where(F.exists("tokens", lambda x: x.startswith("m:"))).withColumn("id", F.xxhash64(F.array_sort("tokens")))
-    classes = keyed.groupBy("id").agg(F.first("tokens").alias("tokens"))
-    groups = stars(classes, containment_pairs(classes))
-    grouped = keyed.select("idx", "id").join(groups, "id").select("idx", F.col("center").alias("group_id"))
-    return grouped.unionByName(tokens.where(~F.exists("tokens", lambda x: x.startswith("m:"))).select("idx", F.xxhash64(F.lit("alone"), "idx").alias("group_id")))
+    tokens = cut(listing_tokens(cut(listing_facts(products, makers))))
+    keyed = tokens.withColumn("id", F.xxhash64(F.array_sort("tokens")))
+    sets = cut(telling(weighted(keyed.groupBy("id").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")))))
+    groups = stars(sets, containment_pairs(sets))
+    return keyed.select("idx", "id").join(groups, "id", "left").select("idx", F.coalesce("center", F.xxhash64(F.lit("alone"), "idx")).alias("group_id"))
 
 
 def same_product_pairs(groups: DataFrame) -> DataFrame:
