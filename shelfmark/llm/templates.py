@@ -1,10 +1,11 @@
 """Problem 5: the article of a page without the furniture of its site.
 
-A page's text is a tree: blocks between empty lines, lines, and the leading part of a line. Every element
-is hashed without what varies (numbers, link targets, the site's own name). An element that recurs
-on many pages of a host is part of its template; article text that recurs (section headings,
-stock phrases) is spread thinly over all hosts instead. Where a host's pages are too few to tell one
-from the other, the hosts where the element occurs decide, one vote each, however large.
+A page's text is a tree: the page, blocks between empty lines, lines, and the parts of a line (the items of
+a menu or a path, the leading part of a notice). Every subtree is hashed without what varies (numbers, link
+targets, the site's own name). One that recurs on many pages of a host is part of its template; article text that
+recurs (section headings, stock phrases) is spread thinly over all hosts instead. Where a host's pages are too few to tell one
+from the other, the hosts where the subtree occurs decide, one vote each, however large. A block recurs only where its lines do,
+so blocks need no hash of their own; the whole rest of a page has one where the page doesn't show its own heading.
 """
 
 from __future__ import annotations
@@ -32,9 +33,15 @@ _LEAD = re.compile(r"^[#\s*•·\-–>]+")
 _LINK = re.compile(r"\((?:https?:)?//[^)\s]*\)")
 _LABEL = re.compile(r"^[^:]{1,16}:")
 _TABLE = re.compile(r"^\|.*\|$")
+_ITEMS = re.compile(r"\s*[|»>/·•]\s*")
+_SENTENCE = re.compile(r"[.,:;!?。，：；！？、]")
 
-LINES = pa.schema([("result_id", pa.int64()), ("line_no", pa.int64()), ("block", pa.int64()), ("host", pa.int64()), ("article", pa.int64()), ("shape", pa.string()), ("part", pa.string())])
-LINES_DDL = "result_id bigint, line_no bigint, block bigint, host bigint, article bigint, shape string, part string"
+LINES = pa.schema([("result_id", pa.int64()), ("line_no", pa.int64()), ("block", pa.int64()), ("place", pa.int8()), ("host", pa.int64()), ("article", pa.int64()), ("shape", pa.string()), ("part", pa.string()), ("items", pa.list_(pa.string()))])
+LINES_DDL = "result_id bigint, line_no bigint, block bigint, place tinyint, host bigint, article bigint, shape string, part string, items array<string>"
+#: Where a line stands: before the page's own heading, from it on, or on a page that doesn't show it.
+BEFORE, FROM, NOWHERE = 0, 1, 2
+#: Items a line needs to be a list of them, and their share that must be part of a template.
+ITEMS, MOST = 3, 0.6
 
 
 def host_of(url: Column) -> Column:
@@ -50,15 +57,37 @@ def heading(line: str) -> str:
     return _LEAD.sub("", even(line)).rstrip("#* ").casefold()
 
 
-def shape(line: str, host: str) -> tuple[str, str | None]:
-    """The line without what varies, and its leading part where it has one: a label, or the start of a line that names its own site."""
+def items(line: str) -> list[str]:
+    """The items of a menu or a path in one line: between bars or arrows, or capitalised or Han words set side by side; none if it isn't one."""
+    if _LINK.search(line):
+        return []
+    found = [x for x in _ITEMS.split(line) if x]
+    if len(found) < 2 and not _SENTENCE.search(line):
+        words = line.split(" ")
+        found = words if len(words) > ITEMS and 2 * sum(not w[:1].islower() for w in words) > len(words) else []
+    return found if len(found) >= ITEMS else []
+
+
+def shape(line: str, host: str) -> tuple[str, str | None, list[str]]:
+    """The line without what varies; its leading part where it has one: a label, the start of a path, or of a line that names its
+    own site; and the items of a list in one line. A row of a table has none of these."""
     if _TABLE.match(line):
-        return "", None
+        return "", None, []
     text = line.replace(host, "@") if host else line
     text = re.sub(r"\d+", "0", _LINK.sub("()", text))
     if m := _LABEL.match(text):
-        return text, m[0]
-    return text, text.split(",")[0] if "@" in text else None
+        return text, m[0], []
+    if held := items(text):
+        return text, text[: text.index(held[1])] if text.startswith(held[0]) and _ITEMS.search(text) else None, held
+    return text, text.split(",")[0] if "@" in text else None, []
+
+
+def own_heading(lines: list[str], title: str) -> int | None:
+    """The line with the page's own heading: marked as one, else before an empty line, else the first that reads like the title
+    (lists of other articles may name the page too)."""
+    found = [k for k, raw in enumerate(lines) if title and raw.strip() and heading(raw) == title]
+    apart = [k for k in found if k + 1 == len(lines) or not lines[k + 1].strip()]
+    return next((k for k in found if lines[k].lstrip().startswith("#")), next(iter([*apart, *found]), None))
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,20 +97,17 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, title = r["reader_content_preview"], heading(r["title"] or "")
             if not text or not text.strip():
                 continue
-            host, begun, block = r["name"], not title, 0
-            for k, raw in enumerate(text.split("\n")):
-                if not raw.strip():
+            lines = text.split("\n")
+            at = own_heading(lines, title)
+            block = 0
+            for k, raw in enumerate(lines):
+                if not raw.strip() or k == at:
                     block += 1
-                    continue
-                if not begun:
-                    # What stands before the page's own heading is menus, paths and notices.
-                    if heading(raw) != title:
-                        continue
-                    begun = True
-                    rows.append((r["result_id"], k, -1, r["host"], r["article"], "", None))
-                    continue
-                s, part = shape(even(raw), host)
-                rows.append((r["result_id"], k, block, r["host"], r["article"], s, part))
+                if k == at:
+                    rows.append((r["result_id"], k, -1, FROM, r["host"], r["article"], "", None, []))
+                elif raw.strip():
+                    place = (FROM if not title else NOWHERE) if at is None else FROM if k > at else BEFORE
+                    rows.append((r["result_id"], k, block, place, r["host"], r["article"], *shape(even(raw), r["name"])))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), LINES, strict=True)], schema=LINES)
 
@@ -89,16 +115,18 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_pages(pages: DataFrame) -> DataFrame:
     """``result_id, name, host, article, title, reader_content_preview`` of the pages with a text; host and article as hashes."""
     own = pages.where("reader_content_preview is not null").select(F.col("result_id").cast("bigint").alias("result_id"), host_of(F.col("url")).alias("name"), "title", "reader_content_preview")
-    return own.select("result_id", "name", F.xxhash64("name").alias("host"), F.xxhash64(F.lower(F.trim("title"))).alias("article"), "title", "reader_content_preview")
+    # A page without a title is told from others by its text.
+    known = F.coalesce(F.nullif(F.lower(F.trim("title")), F.lit("")), "reader_content_preview")
+    return own.select("result_id", "name", F.xxhash64("name").alias("host"), F.xxhash64(known).alias("article"), "title", "reader_content_preview")
 
 
 def page_lines(own: DataFrame) -> DataFrame:
-    """The lines from each page's heading on: ``result_id, line_no, block, host, article`` and the hashes ``shape, part``.
+    """All lines: ``result_id, line_no, block, place, host, article`` and the hashes ``shape, part, items``.
 
     The heading and rows of tables have a null ``shape``: they are never furniture.
     """
     number = lambda c: F.when(F.col(c) != "", F.xxhash64(F.lit(c), c))
-    return own.mapInArrow(_lines, LINES_DDL).withColumns({"shape": number("shape"), "part": number("part")})
+    return own.mapInArrow(_lines, LINES_DDL).withColumns({"shape": number("shape"), "part": number("part"), "items": F.transform("items", lambda x: F.xxhash64(F.lit("item"), x))})
 
 
 def template_elements(own: DataFrame, lines: DataFrame, share: float = SHARE, pages: int = PAGES, host_pages: int = HOST_PAGES) -> DataFrame:
@@ -111,7 +139,7 @@ def template_elements(own: DataFrame, lines: DataFrame, share: float = SHARE, pa
     """
     n, k = F.col("n"), F.col("k")
     sized = own.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("n")).where(n >= host_pages)
-    elements = lines.select("host", "article", F.explode(F.array("shape", "part")).alias("element")).where("element is not null").distinct()
+    elements = lines.select("host", "article", F.explode(F.array_append(F.array_append("items", F.col("shape")), F.col("part"))).alias("element")).where("element is not null").distinct()
     per_host = elements.groupBy("element", "host").agg(F.count("*").alias("k"))
     beyond = lambda p: CLEAR * F.sqrt(p * (1 - p) * n)
     # Only hosts where the element occurs are seen: on few pages that alone lifts the count that the share leads to.
@@ -131,16 +159,29 @@ def template_elements(own: DataFrame, lines: DataFrame, share: float = SHARE, pa
 def article_lines(pages: DataFrame) -> DataFrame:
     """``result_id, line_no`` of the lines that belong to the page's article, counted from 0 between line feeds.
 
-    From the heading on, a line goes if it or its leading part is an element of a template, and with it what
-    follows in its block (the links under "related", the rest of a footer). A page without its heading holds no
-    article. Null and blank texts give nothing; a page without a title is taken from its first line.
+    A line goes if it, its leading part, or most of its items are elements of a template, and with it what
+    follows in its block (the links under "related", the rest of a footer). What no count decides goes only
+    before the page's own heading. Of a page that doesn't show its heading the rest goes if the same rest is left of pages of
+    other articles: a robot check, an error page. Null and blank texts give nothing; a page without a title is taken from its first line.
     """
     own = read_pages(pages)
     lines = page_lines(own)
-    known = template_elements(own, lines)
+    left = by_counts(lines, template_elements(own, lines)).where(F.col("gone").isNull() & (F.col("place") != BEFORE))
+    whole = left.where(F.col("place") == NOWHERE).groupBy("result_id", "article").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("line_no", "shape")))["shape"]).alias("rest"))
+    # Counted by rest before it is joined, so a robot check met everywhere isn't gathered in one task.
+    known = whole.select("rest", "article").distinct().groupBy("rest").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    empty = whole.join(known, "rest", "left_semi").select("result_id")
+    return left.join(empty, "result_id", "left_anti").select("result_id", "line_no")
+
+
+def by_counts(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """The lines with ``gone``, 1 where the counts of the line's host, or the votes, take it away; null elsewhere."""
     goes = F.when(F.col("voted") != F.array_contains("other", F.col("host")), 1)
-    marked = lines.select("result_id", "line_no", "block", "host", "shape", "part")
+    marked = lines.select("result_id", "line_no", "block", "place", "host", "article", "shape", "part", "items")
     for c, mark in (("shape", "a"), ("part", "b")):
         marked = marked.join(known.withColumnRenamed("element", c), c, "left").withColumn(mark, goes).drop("voted", "other")
+    lists = lines.where(F.size("items") > 0).select("result_id", "line_no", "host", F.size("items").alias("n"), F.explode("items").alias("element"))
+    listed = lists.join(known, "element").where(goes == 1).groupBy("result_id", "line_no", "n").agg(F.count("*").alias("k")).where(F.col("k") >= MOST * F.col("n"))
+    marked = marked.join(listed.select("result_id", "line_no", F.lit(1).alias("c")), ["result_id", "line_no"], "left")
     so_far = Window.partitionBy("result_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("gone", F.max(F.coalesce("a", "b")).over(so_far)).where("gone is null").select("result_id", "line_no")
+    return marked.withColumn("gone", F.max(F.coalesce("a", "b", "c")).over(so_far))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from shelfmark.llm.templates import article_lines, host_of, shape
+from shelfmark.llm.templates import article_lines, by_counts, host_of, own_heading, page_lines, read_pages, shape, template_elements
 
 SCHEMA = "result_id bigint, url string, title string, reader_content_preview string, line_no int, shape string"
 FOOT = "Terms | Privacy\nCopyright 2025 {h}"
@@ -43,16 +43,71 @@ def test_pages_read_again_are_not_templates(spark):
 
 def test_odd_pages(spark):
     rows = [(1, "https://a.test/", "T", None, 0, "x"), (2, None, None, "a line\r\n\r\nanother", 0, "x"), (3, "https://a.test/", "T", "", 0, "x"), (4, "https://a.test/", "T", "no heading here", 0, "x"), (5, "https://a.test/", "Ｔitle　x", "m\n\n## Title x\r\n  \ntext", 0, "x"), (6, "u", "L", "# L\n" + "word " * 50_000, 0, "x")]
-    assert kept(spark, rows) == {2: {0, 2}, 5: {2, 4}, 6: {0, 1}}
+    assert kept(spark, rows) == {2: {0, 2}, 4: {0}, 5: {2, 4}, 6: {0, 1}}
     assert article_lines(spark.createDataFrame(rows, SCHEMA).limit(0)).count() == 0
 
 
 def test_hosts_and_shapes(spark):
     urls = spark.createDataFrame([("https://U@A.test:80/x?y",), (None,), ("x",)], "u string")
     assert [r.h for r in urls.select(host_of(F.col("u")).alias("h")).collect()] == ["a.test", "", ""]
-    assert shape("| a | b |", "h") == ("", None)
-    assert shape("(c) 2025 h.test Ltd, all", "h.test") == ("(c) 0 @ Ltd, all", "(c) 0 @ Ltd")
-    assert shape("Address: Mill Road 7", "h.test") == ("Address: Mill Road 0", "Address:")
+    assert shape("| a | b |", "h") == ("", None, [])
+    assert shape("(c) 2025 h.test Ltd, all", "h.test") == ("(c) 0 @ Ltd, all", "(c) 0 @ Ltd", [])
+    assert shape("Address: Mill Road 7", "h.test") == ("Address: Mill Road 0", "Address:", [])
+    assert shape("Home > Garden > rake", "x.test") == ("Home > Garden > rake", "Home > ", ["Home", "Garden", "rake"])
+    assert shape("Shop Register About Gift cards", "x.test")[2] == ["Shop", "Register", "About", "Gift", "cards"]
+    assert shape("Looks close to the photos", "x.test")[2] == shape("A long sentence, with Many Capital Words", "x.test")[2] == []
+
+
+def test_the_heading_is_not_its_mention_in_a_list():
+    assert own_heading(["Related", "T", "Other", "# T", "", "text"], "t") == 3 and own_heading(["T", "Other", "T", "", "x"], "t") == 2
+    assert own_heading(["a", "T", "b"], "t") == 1 and own_heading(["a"], "t") is None and own_heading(["", "a"], "") is None
+
+
+def lines_but(text, gone):
+    return {k for k, x in enumerate(text.split("\n")) if x.strip() and x not in gone}
+
+
+def plain_pages(host, n, foot="The same foot", title=True):
+    """Pages without menus: a heading or none, a body of their own, a foot."""
+    return [(f"https://{host}/{i}", f"{host} {WORDS[i]}" if title else None, (f"# {host} {WORDS[i]}\n\n" if title else "") + f"Body of {host} {WORDS[i]}.\n\n{foot}\n\nLast words of {WORDS[i]}.") for i in range(n)]
+
+
+WORDS = [f"{a}{b}" for a in "abcdefghijklmnopq" for b in "abcdefghijklmnopq"]
+
+
+def numbered(pages):
+    return [(k, u, t, x, 0, "x") for k, (u, t, x) in enumerate(pages)]
+
+
+def test_a_large_host_does_not_keep_the_furniture_of_a_small_one(spark):
+    large = plain_pages("large.test", 201, foot="")
+    large[7] = (*large[7][:2], large[7][2] + "\n\nThe same foot\n\nText after the quotation.")
+    rows = numbered(plain_pages("small.test", 10) + large)
+    got = kept(spark, rows)
+    for k, u, _, text, *_ in rows:
+        assert got[k] == lines_but(text, {"The same foot"} if "small" in u else ()), u
+
+
+def test_pages_without_a_title_are_told_apart(spark):
+    rows = numbered(plain_pages("bare.test", 10, title=False))
+    got = kept(spark, rows)
+    assert all(got[k] == lines_but(text, {"The same foot"}) for k, _, _, text, *_ in rows)
+
+
+def test_menus_in_one_line_go_by_their_items(spark):
+    names = ["Home", "Deals", "Cart", "Brands", "Stores", "Help"]
+    pages = [(u, t, " | ".join(n for j, n in enumerate(names) if j != i % 6) + f"\nHome > Kitchen > {WORDS[i]}\n{x}") for i, (u, t, x) in enumerate(plain_pages("menu.test", 18))]
+    rows = numbered(pages)
+    own = read_pages(spark.createDataFrame(rows, SCHEMA))
+    lines = page_lines(own)
+    marked = by_counts(lines, template_elements(own, lines)).where("line_no < 2").select("gone").collect()
+    # The counts take them, not their place before the heading.
+    assert len(marked) == 36 and all(r.gone for r in marked)
+
+
+def test_a_rest_met_under_many_titles_is_no_article(spark):
+    rows = numbered([(f"https://h{i}.test/", f"Title {WORDS[i]}", "Please confirm you are no robot") for i in range(4)] + [("https://x.test/", "Title x", "A page that shows another heading.\nText.")])
+    assert kept(spark, rows) == {4: {0, 1}}
 
 
 def test_no_host_decides_for_others(spark):
