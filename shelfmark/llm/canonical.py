@@ -107,11 +107,14 @@ _BREAK = re.compile(r"[/>|,;、()\[\]【】{}<:：《》「」]+")
 _NOISE = re.compile(r"[\W_]+")
 
 
+_MARKS, _FOREIGN, _GAP = re.compile("[®™©℠]"), re.compile("[Ͱ-ϿЀ-ԯ]"), re.compile(r"(\W+)")
+
+
 def plain(value: str) -> str:
     """Lower case in one form of characters, signs for trademarks dropped, look-alike letters as Latin ones."""
-    text = re.sub("[®™©℠]", "", fold(value) or "")
-    if re.search("[Ͱ-ϿЀ-ԯ]", text):
-        text = "".join(latin(t) or t for t in re.split(r"(\W+)", text))
+    text = _MARKS.sub("", fold(value) or "")
+    if _FOREIGN.search(text):
+        text = "".join(latin(t) or t for t in _GAP.split(text))
     return unicodedata.normalize("NFKC", text).casefold().strip()
 
 

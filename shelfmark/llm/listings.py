@@ -9,6 +9,7 @@ length and positional filters, checked exactly, and grouped into stars.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -47,6 +48,7 @@ _COUNT, _PLURAL = re.compile(rf"(?<!\d)\d{{1,3}}[{COUNTED}]"), re.compile(r"\b\d
 #: Numbers so long are those of trade items or of a shop's own articles.
 ITEM_DIGITS = 7
 _WORDS = re.compile(r"[a-z]+|[一-鿿]+|\d+")
+_DIGIT, _BRACKET, _CLAUSE = re.compile(r"\d"), re.compile(r"[【】\[\]]"), re.compile(r"[，。；！？,;!?]|\.\s")
 
 #: Prior weights of the kinds of token: code, edition, quantity, maker, word; each is multiplied by the square of the token's rarity.
 WEIGHTS = {"c": 4.0, "s": 3.0, "q": 3.0, "b": 2.0, "w": 1.0}
@@ -59,7 +61,7 @@ _TOKENS = pa.list_(pa.string())
 
 
 def tidy(text: str | None) -> str:
-    return re.sub(r"[【】\[\]]", "", plain(text)) if text else ""
+    return _BRACKET.sub("", plain(text)) if text else ""
 
 
 def quantities_in(text: str) -> set[str]:
@@ -70,8 +72,6 @@ def quantities_in(text: str) -> set[str]:
 def codes_in(text: str, prose: bool) -> dict[str, set[str]]:
     """Every word with the number it carries, and the editions named behind it. ``text`` is lower case in one form."""
     out: dict[str, set[str]] = {}
-    if not any(c.isdigit() for c in text):
-        return out
     text = _COUNT.sub(";", _VALUE.sub(";", text))
     if prose:
         text = _PLURAL.sub(";", text)
@@ -85,14 +85,21 @@ def codes_in(text: str, prose: bool) -> dict[str, set[str]]:
     return out
 
 
-def facts(title: str | None, description: str | None, parameters: list[tuple[str, str | None]]) -> tuple[list[dict], list[str]]:
+def facts(title: str | None, description: str | None, parameters: list[tuple[str, str | None]], known: dict[str, str] | None = None) -> tuple[list[dict], list[str]]:
     """The codes a listing names, each with its editions, how many fields name it, and whether title or parameters do; and its
-    other tokens: quantities, and its words if it names no code."""
-    head = [tidy(title), *[tidy(v) for k, v in parameters if v]]
-    body = tidy(description)
+    other tokens: quantities, and its words if it names no code. ``known`` keeps values of parameters, which come again and again."""
+    known = {} if known is None else known
+    for _, v in parameters:
+        if v and v not in known:
+            known[v] = tidy(v)
+    head = [tidy(title), *[known[v] for _, v in parameters if v]]
+    # A number and what belongs to it stand in one clause.
+    body = ";".join(c for c in _CLAUSE.split(tidy(description)) if _DIGIT.search(c))
     codes: dict[str, dict] = {}
     quantities: set[str] = set()
     for n, text in enumerate([*head, body]):
+        if not _DIGIT.search(text):
+            continue
         quantities |= quantities_in(text)
         for code, editions in codes_in(text, n == len(head)).items():
             c = codes.setdefault(code, {"code": code, "editions": set(), "fields": 0, "head": n < len(head), "at": len(codes)})
@@ -141,7 +148,8 @@ class Names:
 
 
 def _cells(rows: list[dict]) -> list[pa.Array]:
-    found = [facts(r["title"], r["description"], r["parameters"] or []) for r in rows]
+    known: dict[str, str] = {}
+    found = [facts(r["title"], r["description"], r["parameters"] or [], known) for r in rows]
     return [pa.array([c for c, _ in found], _CODES), pa.array([t for _, t in found], _TOKENS)]
 
 
@@ -235,9 +243,8 @@ def weighted(classes: DataFrame) -> DataFrame:
     """
     exploded = classes.select("id", "n", F.explode("tokens").alias("token"))
     df = exploded.groupBy("token").agg(F.sum("n").alias("df"))
-    size = classes.agg((F.coalesce(F.sum("n"), F.lit(0)) + 1).alias("all"))
-    r = 1 - F.log("df") / F.log("all")
-    known = df.join(F.broadcast(size), F.lit(True)).select("token", "df", r.alias("r"), (_prior(F.col("token")) * F.greatest(r * r, F.lit(0.01))).alias("w"))
+    r = 1 - F.log("df") / F.lit(math.log((classes.agg(F.sum("n")).first()[0] or 0) + 1) or 1.0)
+    known = df.select("token", "df", r.alias("r"), (_prior(F.col("token")) * F.greatest(r * r, F.lit(0.01))).alias("w"))
     t = exploded.join(known, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token", "r", "w"))).alias("t"))
     return t.withColumn("weight", F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["w"]))
 
@@ -250,12 +257,12 @@ def candidates(sets: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
     passes has its first common token in both prefixes, and only there it is formed (positional filter: what is left from it on, in
     either set, must reach the share; length filter: the heavier must weigh so much).
     """
-    least = sets.agg(F.min("weight").alias("least"))
+    least = sets.agg(F.min("weight")).first()[0] or 0.0
     at = sets.select("id", "weight", "t", F.posexplode("t").alias("pos", "x"))
     before = F.aggregate(F.slice("t", 1, F.col("pos")), F.lit(0.0), lambda acc, x: acc + x["w"])
     at = at.select("id", "weight", "t", F.col("x.token").alias("token"), "pos", (F.col("weight") - before).alias("left"))
     probe = at.where(F.col("left") >= threshold * F.col("weight") - 1e-9).select("token", F.col("id").alias("p"), F.col("weight").alias("pw"), F.col("t").alias("pt"), F.col("pos").alias("pp"), F.col("left").alias("pl"))
-    index = at.join(F.broadcast(least), F.lit(True)).where(F.col("left") >= threshold * F.col("least") - 1e-9)
+    index = at.where(F.col("left") >= threshold * least - 1e-9)
     index = index.select("token", F.col("id").alias("q"), F.col("weight").alias("qw"), F.col("t").alias("qt"), F.col("pos").alias("qp"), F.col("left").alias("ql"))
     near = probe.join(index, "token").where("p <> q and (pw < qw or (pw = qw and p < q))")
     near = near.where((F.least("pl", "ql") >= threshold * F.col("pw") - 1e-9) & (F.col("qw") >= threshold * F.col("pw") - 1e-9))
@@ -327,7 +334,8 @@ def product_groups(products: DataFrame, makers: DataFrame) -> DataFrame:
     """
     tokens = cut(listing_tokens(cut(listing_facts(products, makers))))
     keyed = tokens.withColumn("id", F.xxhash64(F.array_sort("tokens")))
-    sets = cut(telling(weighted(keyed.groupBy("id").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")))))
+    classes = cut(keyed.groupBy("id").agg(F.first("tokens").alias("tokens"), F.count("*").alias("n")))
+    sets = cut(telling(weighted(classes)))
     groups = stars(sets, containment_pairs(sets))
     return keyed.select("idx", "id").join(groups, "id", "left").select("idx", F.coalesce("center", F.xxhash64(F.lit("alone"), "idx")).alias("group_id"))
 
