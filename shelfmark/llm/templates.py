@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.plans.runtime import bounded
+from shelfmark.plans.runtime import bounded, cut
 
 #: Share of a host's pages on which an element must recur.
 SHARE = 0.2
@@ -165,23 +165,25 @@ def article_lines(pages: DataFrame) -> DataFrame:
     other articles: a robot check, an error page. Null and blank texts give nothing; a page without a title is taken from its first line.
     """
     own = read_pages(pages)
-    lines = page_lines(own)
-    left = by_counts(lines, template_elements(own, lines)).where(F.col("gone").isNull() & (F.col("place") != BEFORE))
-    whole = left.where(F.col("place") == NOWHERE).groupBy("result_id", "article").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("line_no", "shape")))["shape"]).alias("rest"))
+    # Read once; hashes only.
+    lines = cut(page_lines(own))
+    known = cut(template_elements(own, lines))
+    rest = by_counts(lines.where(F.col("place") == NOWHERE), known).where(F.col("gone").isNull())
+    whole = rest.groupBy("result_id", "article").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("line_no", "shape")))["shape"]).alias("rest"))
     # Counted by rest before it is joined, so a robot check met everywhere isn't gathered in one task.
-    known = whole.select("rest", "article").distinct().groupBy("rest").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
-    empty = whole.join(known, "rest", "left_semi").select("result_id")
+    often = whole.select("rest", "article").distinct().groupBy("rest").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    empty = whole.join(often, "rest", "left_semi").select("result_id")
+    left = by_counts(lines, known).where(F.col("gone").isNull() & (F.col("place") != BEFORE))
     return left.join(empty, "result_id", "left_anti").select("result_id", "line_no")
 
 
 def by_counts(lines: DataFrame, known: DataFrame) -> DataFrame:
     """The lines with ``gone``, 1 where the counts of the line's host, or the votes, take it away; null elsewhere."""
-    goes = F.when(F.col("voted") != F.array_contains("other", F.col("host")), 1)
-    marked = lines.select("result_id", "line_no", "block", "place", "host", "article", "shape", "part", "items")
-    for c, mark in (("shape", "a"), ("part", "b")):
-        marked = marked.join(known.withColumnRenamed("element", c), c, "left").withColumn(mark, goes).drop("voted", "other")
-    lists = lines.where(F.size("items") > 0).select("result_id", "line_no", "host", F.size("items").alias("n"), F.explode("items").alias("element"))
-    listed = lists.join(known, "element").where(goes == 1).groupBy("result_id", "line_no", "n").agg(F.count("*").alias("k")).where(F.col("k") >= MOST * F.col("n"))
-    marked = marked.join(listed.select("result_id", "line_no", F.lit(1).alias("c")), ["result_id", "line_no"], "left")
+    each = F.concat(F.array(F.struct(F.lit(0).alias("item"), F.col("shape").alias("element")), F.struct(F.lit(0).alias("item"), F.col("part").alias("element"))), F.transform("items", lambda x: F.struct(F.lit(1).alias("item"), x.alias("element"))))
+    elements = lines.select("result_id", "line_no", "host", F.size("items").alias("n"), F.explode(each).alias("x")).select("result_id", "line_no", "host", "n", "x.*").where("element is not null")
+    met = elements.join(known, "element").where(F.col("voted") != F.array_contains("other", F.col("host"))).groupBy("result_id", "line_no").agg(F.count_if(F.col("item") == 0).alias("whole"), F.sum("item").alias("k"), F.max("n").alias("n"))
+    # Of each page, at most as many numbers as it has lines.
+    goes = met.where((F.col("whole") > 0) | (F.col("k") >= F.greatest(MOST * F.col("n"), F.lit(1)))).groupBy("result_id").agg(F.collect_set("line_no").alias("goes"))
+    own = lines.select("result_id", "line_no", "block", "place", "article", "shape").join(goes, "result_id", "left")
     so_far = Window.partitionBy("result_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("gone", F.max(F.coalesce("a", "b", "c")).over(so_far))
+    return own.withColumn("gone", F.max(F.when(F.array_contains("goes", F.col("line_no")), 1)).over(so_far)).drop("goes")
