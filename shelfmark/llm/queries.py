@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Every title and description in the one consistent form."""
-    return _looks(spark, d).select("idx", "field", "text")
+    """Every title and description in the one consistent form, and the key by which looks are compared."""
+    return _looks(spark, d).select("idx", "field", "text", "look")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,14 +75,33 @@ def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
+# Letters of other alphabets and, in the same places, the Latin letters they look like. The SQL has a table of its own.
+_SQL_FOREIGN = "АВЕКМНОРСТУХІЈЅҮԚԜѴаеорсухіјѕԁԛԝһѵΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϳͿ"
+_SQL_LATIN = "ABEKMHOPCTYXIJSYQWVaeopcyxijsdqwhvABEZHIKMNOPTYXovjJ"
+
+
 def _look_sql(c: str) -> str:
     """The look of a text in SQL: every look-alike letter counts as its Latin one, whatever word it stands in."""
-    one = {chr(k): v for k, v in glyphs._MAP.items() if len(v) == 1}
-    one |= {chr(k): v for k in range(0x370, 0x530) if (v := glyphs.latin(chr(k))) and len(v) == 1 and v != chr(k)}
-    gone = "".join(chr(k) for k, v in glyphs._MAP.items() if not v)
-    for k, v in glyphs._MAP.items():
-        if len(v) > 1:
-            c = f"replace({c}, chr({k}), '{v}')"
+    one, gone, long = dict(zip(_SQL_FOREIGN, _SQL_LATIN, strict=True)), "", {}
+    for cp in [*range(0x80, 0x3400), *range(0xF900, 0x10000)]:
+        ch, kind, wide = chr(cp), unicodedata.category(chr(cp)), unicodedata.normalize("NFKC", chr(cp))
+        if kind == "Cf" or ch in "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u3164\uffa0" or 0xFE00 <= cp <= 0xFE0F:
+            gone += ch
+        elif kind == "Zs":
+            one[ch] = " "
+        elif ch in "\u2010\u2011\ufe63\uff0d":
+            one[ch] = "-"
+        elif unicodedata.east_asian_width(ch) in "FH" and 0xFF00 < cp or cp == 0x3000 or 0x2E80 <= cp < 0x2FE0 or 0xF900 <= cp < 0xFB00 or 0xFB00 <= cp < 0xFB07 or ch in "\u212a\u212b\u2126\xb5":
+            if wide != ch:
+                (one if len(wide) == 1 else long)[ch] = wide
+    # Composed letters of the other alphabets, by their base letter.
+    for cp in range(0x370, 0x530):
+        base, *marks = unicodedata.normalize("NFD", chr(cp))
+        if marks and base in _SQL_FOREIGN and len(to := unicodedata.normalize("NFC", one[base] + "".join(marks))) == 1:
+            one[chr(cp)] = to
+    one["\t"] = " "
+    for ch, wide in long.items():
+        c = f"replace({c}, chr({ord(ch)}), '{wide}')"
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     return f"nfc_normalize(translate({c}, {quoted(''.join(one) + gone)}, {quoted(''.join(one.values()))}))"
 
