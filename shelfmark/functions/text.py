@@ -45,9 +45,27 @@ def map_text(c: Column) -> Column:
 
 
 def half_even_text(c: Column, digits: int = 2) -> Column:
-    """Fixed decimals, ties to the even neighbour of the binary value, as printf does."""
-    exact = F.bround(c.cast("decimal(38,18)"), digits).cast(f"decimal(38,{digits})")
-    return exact.cast("string")
+    """Fixed decimals (at most two), rounded by the binary value as printf does: only a value that lies exactly between two
+    neighbours goes to the even one.
+
+    Where the shortest decimal of the number reads like such a tie, the number is compared with the tie in whole numbers: both sides
+    times a power of two. From 2^53 on the digits are the shortest that tell the number. NaN and infinities read ``nan`` and ``inf``.
+    """
+    if digits > 2:
+        raise ValueError("at most two decimals")
+    x = c.cast("double")
+    size, ten = F.abs(x), 10**digits
+    scaled = size.try_cast("decimal(36,18)") * F.lit(ten)
+    down = F.floor(scaled)
+    over = scaled - down
+    k = (F.lit(53) - F.floor(F.log2(size))).cast("int")
+    number = F.floor(size * F.pow(F.lit(2.0), k)).cast("bigint").cast("decimal(20,0)") * F.lit(2 * ten)
+    tie = (down.cast("decimal(18,0)") * F.lit(2) + F.lit(1)) * F.floor(F.pow(F.lit(2.0), k)).cast("bigint").cast("decimal(20,0)")
+    half = F.lit(0.5).cast("decimal(2,1)")
+    up = F.when(over != half, over > half).when(number != tie, number > tie).otherwise(down % 2 == 1)
+    near = (down.cast("decimal(18,0)") + F.when(up, F.lit(1)).otherwise(F.lit(0))) / F.lit(ten).cast("decimal(3,0)")
+    text = F.when(F.isnan(x), F.lit("nan")).when(size == float("inf"), F.lit("inf")).when(size < F.lit(1e14), near.cast(f"decimal(38,{digits})").cast("string")).otherwise(F.format_string(f"%.{digits}f", size))
+    return F.when(x.isNotNull(), F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), text))
 
 
 def _lines(parts: list[Column]) -> Column:

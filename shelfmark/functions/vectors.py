@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,16 +23,21 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def _with_norm(v: Column, scaled: Callable[[Column, Column], Column]) -> Column:
+    """``scaled(number, norm)`` of every number. The norm is a field of a struct, so it is computed once a vector, not once a number."""
+    held = F.array(F.struct(v.alias("v"), norm(v).alias("n")))
+    return F.element_at(F.transform(held, lambda s: F.transform(s["v"], lambda x: scaled(x, s["n"]))), 1)
+
+
 def l2_normalize(v: Column) -> Column:
     """The vector over its norm; a norm below ``EPS`` counts as ``EPS``, so a zero vector stays zero."""
-    return F.transform(as_double(v), lambda x: x / F.greatest(norm(v), F.lit(EPS)))
+    return _with_norm(as_double(v), lambda x, n: x / F.greatest(n, F.lit(EPS)))
 
 
 def fuse(a: Column, b: Column) -> Column:
     """The mean of two vectors at unit length; zeros where they cancel out."""
     mean = F.zip_with(as_double(a), as_double(b), lambda x, y: (x + y) / F.lit(2.0))
-    size = norm(mean)
-    return F.transform(mean, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)))
+    return _with_norm(mean, lambda x, n: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
 
 
 def sigmoid(x: Column) -> Column:

@@ -5,6 +5,8 @@ once per task from a registered name and fed Arrow batches, so a real model load
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -108,10 +110,30 @@ class EchoGenerator:
         pass
 
 
+class LengthJudge:
+    """A stand-in for a model that ranks: the five longest documents of a judge's prompt, the earlier of equals first, the rest filtered."""
+
+    def __init__(self, config: ModelConfig):
+        self.config = config
+
+    def generate(self, prompts: list[str], max_new_tokens: int) -> list[str]:
+        return [self._answer(p) for p in prompts]
+
+    def _answer(self, prompt: str) -> str:
+        # Numbers and documents by turns, behind what stands before the first document.
+        parts = re.split(r"\n\nDocID: (\d+)\n", prompt)[1:]
+        order = sorted(zip(map(int, parts[::2]), parts[1::2], strict=True), key=lambda d: (-len(d[1]), d[0]))
+        ids = [n for n, _ in order]
+        return f"Here you are:\n{json.dumps({'ranked_doc_ids': ids[:5], 'filtered_doc_ids': sorted(ids[5:])})}"
+
+    def close(self) -> None:
+        pass
+
+
 #: Encoders by name; the sizes and limits are those of the public models the names stand for.
 ENCODERS: dict[str, Callable[[ModelConfig], Encoder]] = {n: HashEncoder for n in ("clip", "chinese_clip", "siglip2", "gme_2b")}
 RERANKERS: dict[str, Callable[[ModelConfig], Reranker]] = {"overlap": OverlapReranker}
-GENERATORS: dict[str, Callable[[ModelConfig], Generator]] = {"echo": EchoGenerator}
+GENERATORS: dict[str, Callable[[ModelConfig], Generator]] = {"echo": EchoGenerator, "longest": LengthJudge}
 PRESETS = {
     "clip": ModelConfig("clip", max_length=77),
     "chinese_clip": ModelConfig("chinese_clip", max_length=52),
@@ -159,20 +181,24 @@ def pair_score(query: Column, document: Column, config: ModelConfig, batch_size:
     return F.pandas_udf(run, T.DoubleType())(query, document)
 
 
-def generated(prompt: Column, config: ModelConfig, max_new_tokens: int = 256) -> Column:
-    """``value, error`` of a model's answer; what fails on one row becomes that row's error."""
+def generated(prompt: Column, config: ModelConfig, max_new_tokens: int = 256, batch_size: int = 8) -> Column:
+    """``value, error`` of a model's answer. Prompts go to the model ``batch_size`` at a time; those of a batch that fails go one by one,
+    and what fails alone becomes its row's error. A null prompt has an error."""
     make = GENERATORS.get(config.name) or build(GENERATORS, config)
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = make(config)
+
+        def answers(prompts: list[str]) -> list[tuple[str | None, str | None]]:
+            try:
+                return [(a, None) for a in model.generate(prompts, max_new_tokens)]
+            except Exception as e:  # noqa: BLE001
+                return [(None, str(e))] if len(prompts) == 1 else [a for p in prompts for a in answers([p])]
+
         for s in parts:
-            rows = []
-            for p in s:
-                try:
-                    rows.append((None, "no prompt") if p is None else (model.generate([p], max_new_tokens)[0], None))
-                except Exception as e:  # noqa: BLE001
-                    rows.append((None, str(e)))
-            yield pd.DataFrame(rows, columns=["value", "error"])
+            given = s[s.notna()].tolist()
+            said = iter([a for at in range(0, len(given), batch_size) for a in answers(given[at : at + batch_size])])
+            yield pd.DataFrame([next(said) if known else (None, "no prompt") for known in s.notna()], columns=["value", "error"])
         model.close()
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}

@@ -9,6 +9,7 @@ from shelfmark.functions.vectors import fuse
 from shelfmark.operators.fusion import aggregate_lists, merge_routes
 from shelfmark.operators.metrics import KS, judged, macro, per_query, without_reference
 from shelfmark.operators.ranking import nearest, sample_groups
+from shelfmark.operators.rerank import matched
 
 ROUTES = ("text_to_image", "image_to_image", "image_text_to_image", "multi_route")
 
@@ -22,11 +23,11 @@ def repeat_cases(members: DataFrame, repeats: int, seed: int, *, strict: bool =
 def rank_routes(cases: DataFrame, texts: DataFrame, corpus: DataFrame, k: int = 50, per_route: int = 5) -> DataFrame:
     """``case_id, route, rank, idx`` of the four routes.
 
-    ``texts`` has the text vector of each ``key``, ``corpus`` is ``idx, vector``. The text route is ranked once a key, not
+    ``texts`` has the text vector of each ``key``, ``corpus`` is ``idx, vector``; a case without either is an error. The text route is ranked once a key, not
     once a case; the reference of a case is left out of all its routes.
     """
     own = corpus.select(F.col("idx").alias("reference"), F.col("vector").alias("image"))
-    full = cases.join(own, "reference").join(texts.select("key", F.col("vector").alias("text")), "key")
+    full = matched(matched(cases, own, "reference", "image"), texts.select("key", F.col("vector").alias("text")), "key", "text")
     full = full.select("case_id", "key", "reference", "image", "text", fuse(F.col("image"), F.col("text")).alias("fused"))
     search = lambda c: nearest(full.select(F.col("case_id").alias("query_id"), F.col(c).alias("vector"), "reference"), corpus, k, exclude="reference").withColumnRenamed("query_id", "case_id")
     image, fused = search("image"), search("fused")
@@ -92,9 +93,19 @@ def aggregated_candidates(cases: DataFrame, routes: DataFrame, route: str = "mul
     return aggregate_lists(lists, "key", "repeat_id", total)
 
 
-def candidate_rows(candidates: DataFrame, products: DataFrame, cases: DataFrame) -> DataFrame:
-    """One row per subcategory for a sink: ``key, reference_indices, candidates`` with rank, index, product id and image path."""
+def candidate_rows(cases: DataFrame, routes: DataFrame, products: DataFrame, attributes: DataFrame, total: int = 10, of: tuple[str, ...] = ("multi_route", "image_text_to_image")) -> DataFrame:
+    """One row per subcategory for a sink: ``key``, its ``attributes``, ``reference_indices``, ``reference_image_paths`` in order of the
+    cases, and of each route a list of ``rank, index, product_id, image_path``.
+
+    The attributes (a row per ``key``) are those of the first case, as all cases of a key share them. Cases or candidates without a
+    catalogue line, and keys without attributes, are an error.
+    """
+    names = products.select("idx", "id", "image")
     item = F.struct("rank", F.col("idx").alias("index"), F.col("id").alias("product_id"), F.col("image").alias("image_path"))
-    lists = candidates.join(products.select("idx", "id", "image"), "idx").groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("candidates"))
-    refs = F.transform(F.array_sort(F.collect_list(F.struct("repeat_id", "reference"))), lambda x: x["reference"])
-    return lists.join(cases.groupBy("key").agg(refs.alias("reference_indices")), "key")
+    refs = matched(cases.withColumnRenamed("reference", "idx"), names, "idx", "image").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("repeat_id", "idx", "image"))).alias("r"))
+    rows = matched(refs, attributes.withColumn("_known", F.lit(1)), "key", "_known").drop("_known")
+    rows = rows.withColumns({"reference_indices": F.col("r.idx"), "reference_image_paths": F.col("r.image")}).drop("r")
+    for route in of:
+        lists = matched(aggregated_candidates(cases, routes, route, total), names, "idx", "id").groupBy("key").agg(F.array_sort(F.collect_list(item)).alias(f"{route}_top{total}"))
+        rows = rows.join(lists, "key", "left")
+    return rows

@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from shelfmark.plans.runtime import bounded
 
 OPEN, CLOSE, COLON, COMMA, STRING, SCALAR, NODE = 1, 2, 3, 4, 5, 6, 7
+_SOLID = re.compile(rb"[^ \t\n\r]")
+#: What a string that holds JSON may begin with: its bracket, an escape, or the first byte of U+00A0, U+0085, U+2000 to U+3000 or U+FEFF.
+_MAY_HOLD = (b"{", b"[", b"\\", b"\xc2", b"\xe1", b"\xe2", b"\xe3", b"\xef")
 _SCALAR = re.compile(rb"-?(0|[1-9]\d*)(\.\d+)?([eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
 
 ROWS = pa.schema([("record_id", pa.int64()), ("kind", pa.string()), ("seq", pa.int64()), ("parent_kind", pa.string()), ("parent_seq", pa.int64()), ("name", pa.string())])
@@ -168,8 +171,9 @@ class StructuralIndex:
         return self._decode(self.start[n] + 1, self.end[n] - 1) if self.what[n] == '"' else self.data[self.start[n] : self.end[n]].decode()
 
     def first_byte(self, n: int) -> bytes:
-        """The first byte of a string that isn't white space."""
-        return self.data[self.start[n] + 1 : self.start[n] + 9].lstrip()[:1]
+        """The first byte of a string that isn't white space, or that begins a character outside ASCII or an escape, which may be."""
+        at = _SOLID.search(self.data, self.start[n] + 1, self.end[n] - 1)
+        return at[0] if at else b""
 
 
 Value = tuple[StructuralIndex, int]
@@ -183,8 +187,8 @@ class Forest:
         self.held: dict[tuple[int, int], Value] = {}
         level = self.index
         while True:
-            inner = [n for n, k in enumerate(level.what) if k == '"' and level.first_byte(n) in (b"{", b"[", b"\\")]
-            decoded = [(n, t) for n in inner if (t := level.text(n).strip())[:1] in ("{", "[")]
+            inner = [n for n, k in enumerate(level.what) if k == '"' and level.first_byte(n) in _MAY_HOLD]
+            decoded = [(n, t) for n in inner if (t := level.text(n).strip().lstrip("\ufeff").strip())[:1] in ("{", "[")]
             if not decoded:
                 break
             below = StructuralIndex([t.encode("utf-8", "surrogatepass") for _, t in decoded])
@@ -248,24 +252,24 @@ class Walk:
 
     def named(self, v: Value, names: tuple[str, ...]) -> tuple[str | None, dict[str, Value]]:
         """What a child is called, and its fields; fields of an object that stands as the name come along."""
-        if not self.f.is_object(v):
-            return (None if self.f.is_list(v) or self.f.blank(v) else v[0].text(v[1])), {}
-        own = dict(self.f.members(v))
-        inner = self.first(own, names)
-        if inner is None:
-            return None, own
-        name, more = self.named(inner, names)
-        return name, own | more
+        fields: dict[str, Value] = {}
+        while self.f.is_object(v):
+            own = dict(self.f.members(v))
+            fields |= own
+            if (inner := self.first(own, names)) is None:
+                return None, fields
+            v = inner
+        return (None if self.f.is_list(v) or self.f.blank(v) else v[0].text(v[1])), fields
 
     def each(self, v: Value | None, wrappers: tuple[str, ...]) -> list[Value]:
-        if v is None:
-            return []
-        v = self.f.open(v)
-        if self.f.is_object(v):
-            own = dict(self.f.members(v))
-            if (inside := next((own[k] for k in wrappers if k in own), None)) is not None and (self.f.is_object(inside) or self.f.is_list(inside)):
-                return self.each(inside, wrappers)
-        return self.f.elements(v)
+        while v is not None:
+            v = self.f.open(v)
+            own = dict(self.f.members(v)) if self.f.is_object(v) else {}
+            inside = next((own[k] for k in wrappers if k in own), None)
+            if inside is None or not (self.f.is_object(inside) or self.f.is_list(inside)):
+                return self.f.elements(v)
+            v = inside
+        return []
 
     def record(self, root: Value) -> list[tuple[str, int, str, int, str]]:
         if self.f.is_object(root):
@@ -274,7 +278,13 @@ class Walk:
                 self.color(v, top)
             self.sizes(own.get("sizes"), top)
             if (v := own.get("parameters")) is not None:
-                self.parameters(v, top)
+                # Groups may lie in groups, as deep as a record goes: the open ones are a stack of their own.
+                open_groups = [self.parameters(v, top)]
+                while open_groups:
+                    if (inner := next(open_groups[-1], None)) is None:
+                        open_groups.pop()
+                    else:
+                        open_groups.append(inner)
             self.policies(own.get("after_sales"), top)
         return self.rows
 
@@ -312,7 +322,8 @@ class Walk:
                 if axis is not None:
                     self.emit("dimension", at, axis)
 
-    def parameters(self, v: Value, parent: tuple[str, int]) -> None:
+    def parameters(self, v: Value, parent: tuple[str, int]) -> Iterator[Iterator]:
+        """Emits the parameters of a value; yields each group inside it, to be gone through before the rest."""
         for x in self.f.elements(v):
             if not self.f.is_object(x):
                 if not self.f.is_list(x):
@@ -324,7 +335,7 @@ class Walk:
             held = next((own[k] for k in PARAMETER_VALUE if k in own), None)
             if any(k in own for k in GROUP_NAME) and inside is not None:
                 name, _ = self.named(own[GROUP_NAME[0]], ("name", "label"))
-                self.parameters(inside, self.emit("group", parent, name) if name is not None else parent)
+                yield self.parameters(inside, self.emit("group", parent, name) if name is not None else parent)
             elif label is not None and held is not None and len(own) <= 3 and not self.f.is_object(label) and not self.f.is_list(label):
                 if not self.f.blank(label):
                     self.parameter(label[0].text(label[1]), held, parent)
@@ -332,7 +343,7 @@ class Walk:
                 for k, y in self.f.members(x):
                     if k.strip():
                         if self.f.is_object(y) and not self.is_amount(y) and not self.f.blank(y):
-                            self.parameters(y, self.emit("group", parent, k))
+                            yield self.parameters(y, self.emit("group", parent, k))
                         else:
                             self.parameter(k, y, parent)
 

@@ -77,6 +77,17 @@ def rerank_table(summary: DataFrame, judged: DataFrame) -> DataFrame:
     )
 
 
+def multi_route_table(summary: DataFrame) -> DataFrame:
+    """Precision and hit rate at 10 of each route (``route`` and its means), as text."""
+    return summary.select(display_name(F.col("route")).alias("route"), percent(F.col("`avg_precision@10`")).alias("top10"), percent(F.col("`avg_hit@10`")).alias("hit10"))
+
+
+def best_judged(summary: DataFrame, judged: DataFrame) -> DataFrame:
+    """The method the judge finds best, found after the two tables are joined by name; of equals the first in order of name."""
+    both = summary.join(judged, "method_name")
+    return both.orderBy(F.desc("avg_top5_relevant_ratio_gpt"), "method_name").limit(1)
+
+
 def merge_judge_batches(batches: list[DataFrame]) -> DataFrame:
     """Rows of batches whose columns differ, one under the other."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)

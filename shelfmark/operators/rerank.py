@@ -9,10 +9,18 @@ from shelfmark.functions.generation import decode_selection
 from shelfmark.functions.text import document_text
 
 
-def candidate_documents(candidates: DataFrame, products: DataFrame, mode: str = "compact_rerank_zh") -> DataFrame:
-    """``query_id, cand_rank, idx`` with the product's id, image path, subcategory and text."""
+def matched(rows: DataFrame, known: DataFrame, on: str, filled: str) -> DataFrame:
+    """An inner join in which a row without its partner is an error, not a missing row; ``filled`` is a column of ``known`` that is never null."""
+    both = rows.join(known, on, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {on} "), F.col(on).cast("string")))
+    return both.withColumn(filled, F.when(F.col(filled).isNull(), missing).otherwise(F.col(filled)))
+
+
+def candidate_documents(candidates: DataFrame, products: DataFrame, mode: str = "compact_rerank_zh", *, strict: bool = True) -> DataFrame:
+    """``query_id, cand_rank, idx`` with the product's id, image path, subcategory and text. A candidate that is no product is an error,
+    or without ``strict`` left out."""
     own = products.select("idx", F.col("id").alias("product_id"), F.col("image").alias("image_path"), "subcategory", document_text(mode).alias("document"))
-    return candidates.join(own, "idx")
+    return matched(candidates, own, "idx", "document") if strict else candidates.join(own, "idx")
 
 
 def rank_by_score(scored: DataFrame) -> DataFrame:

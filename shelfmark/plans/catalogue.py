@@ -61,6 +61,13 @@ def encoded_search(spark: SparkSession, d: str) -> DataFrame:
     return rounded(nearest(q, titles, 5))
 
 
+def price_ties(spark: SparkSession, d: str) -> DataFrame:
+    """Prices and parts of them as text, many of which read like ties between two neighbours."""
+    parts = {"whole": F.col("price"), "eighth": F.col("price") / 8, "tenth": F.col("price") / 10, "loss": -F.col("price") / 16}
+    share = X.percent(F.col("price") / 2000)
+    return _products(spark, d).select("idx", *[X.half_even_text(c).alias(n) for n, c in parts.items()], share.alias("share"))
+
+
 def requests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "subcategory_queries").select("key", X.request_text(F.col("category"), F.col("canonical_subcategory")).alias("request"))
 
@@ -82,7 +89,7 @@ def benchmark_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    **{f.__name__: f for f in (slugs, positives_packed, qrels_distinct, prompts, requests, encoded_search, product_cases, variant_order, benchmark_order)},
+    **{f.__name__: f for f in (slugs, positives_packed, qrels_distinct, prompts, requests, encoded_search, product_cases, variant_order, benchmark_order, price_ties)},
     **{f"subcategory_queries_{m}": _queries(m) for m in X.QUERY_MODES},
     **{f"documents_{m}": _documents(m) for m in X.DOCUMENT_MODES},
 }
@@ -109,6 +116,7 @@ SQL: dict[str, str] = {
     "positives_packed": f"WITH {_SLUGS} SELECT key, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS positive_indices, md5(string_agg(image, '|' ORDER BY idx)) AS image_paths FROM x WHERE key IS NOT NULL GROUP BY key",
     "qrels_distinct": "SELECT key, count(*) AS positive_count FROM (SELECT DISTINCT key, idx FROM qrels) GROUP BY key",
     "prompts": f"SELECT model_name, input_language, key, coalesce(replace(prompt_template, '{{label}}', label), label) AS prompt, prompt_label FROM (SELECT *, CASE WHEN query_mode = 'slug_en' THEN slug_text ELSE canonical_subcategory END AS label FROM subcategory_queries CROSS JOIN {_VARIANTS})",
+    "price_ties": "SELECT idx, printf('%.2f', price) AS whole, printf('%.2f', price / 8) AS eighth, printf('%.2f', price / 10) AS tenth, printf('%.2f', -price / 16) AS loss, printf('%.1f', price / 2000 * 100.0) || '%' AS share FROM products",
     "requests": "SELECT key, '我想找一款属于“' || category || '”类目的“' || canonical_subcategory || '”。请优先保留真正属于这个子类别、商品信息匹配、明显不是其他近似子类别的结果。' AS request FROM subcategory_queries",
     "product_cases": f"SELECT key, repeat_id, idx FROM (SELECT key, idx, row_number() OVER (PARTITION BY key ORDER BY md5('{SEED}:' || idx), idx) AS repeat_id FROM (SELECT DISTINCT key, idx FROM qrels)) WHERE repeat_id <= 5",
     "variant_order": f"SELECT model_name, input_language, ({_PLACE('input_language', ('zh', 'en'))})::BIGINT AS language_order, ({_PLACE('model_name', ('clip', 'chinese_clip', 'siglip2', 'gme_2b'))})::BIGINT AS model_order FROM (SELECT model_name, input_language FROM {_VARIANTS} UNION ALL SELECT key, 'fr' FROM subcategory_queries)",

@@ -16,7 +16,7 @@ from shelfmark.operators import cases as C
 from shelfmark.operators import metrics as M
 from shelfmark.operators import ranking as R
 from shelfmark.operators.fusion import merge_routes
-from shelfmark.operators.report import combined_rows, retrieval_table
+from shelfmark.operators.report import combined_rows, multi_route_table, retrieval_table
 from shelfmark.plans.runtime import spread, table
 from shelfmark.sources.files import predictions
 
@@ -153,9 +153,64 @@ def case_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(C.case_summary(C.case_metrics(cases, routes, c.select(F.col("label").alias("key"), "idx"))))
 
 
-def aggregated_candidates(spark: SparkSession, d: str) -> DataFrame:
+def aggregated(spark: SparkSession, d: str) -> DataFrame:
     cases, routes = _routes(corpus(spark, d))
-    return rounded(C.aggregated_candidates(cases, routes))
+    return C.aggregated_candidates(cases, routes)
+
+
+def aggregated_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(aggregated(spark, d))
+
+
+def candidate_table(spark: SparkSession, d: str) -> DataFrame:
+    """Each label's row for a sink: both routes' lists, the references and their images, the label's attributes."""
+    c = corpus(spark, d)
+    cases, routes = _routes(c)
+    lines = c.select("idx", F.concat(F.lit("p"), "idx").alias("id"), F.concat(F.lit("images/"), "label", F.lit("/"), "idx", F.lit(".jpg")).alias("image"))
+    attributes = c.select(F.col("label").alias("key")).distinct().withColumn("text_query", F.concat(F.lit("label "), "key"))
+    rows = C.candidate_rows(cases, routes, lines, attributes)
+    text = lambda n, f: F.array_join(F.transform(n, f), ",").alias(n)
+    item = lambda x: F.concat_ws(":", x["rank"], x["index"], x["product_id"], x["image_path"])
+    same = lambda x: x.cast("string")
+    return rounded(rows.select("key", "text_query", text("reference_indices", same), text("reference_image_paths", same), text("multi_route_top10", item), text("image_text_to_image_top10", item)))
+
+
+def multi_route_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and hit rate of the merged lists of ten."""
+    c = corpus(spark, d)
+    cases, routes = _routes(c)
+    relevance = C.case_relevance(cases, c.select(F.col("label").alias("key"), "idx"))
+    return rounded(C.top10_summary(routes.where("route = 'multi_route'"), relevance, cases, "case_id"))
+
+
+def multi_route_report(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus(spark, d)
+    cases, routes = _routes(c)
+    m = C.case_metrics(cases, routes, c.select(F.col("label").alias("key"), "idx"))
+    return multi_route_table(rounded(C.case_summary(m).where(F.col("route").isin("multi_route", "image_text_to_image"))))
+
+
+def late_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """What stands behind the first five of ten neighbours."""
+    c = corpus(spark, d)
+    return rounded(R.beyond(R.nearest(queries_of(c), c, 10, exclude="own"), 5))
+
+
+def _twice(c: DataFrame) -> DataFrame:
+    """Every vector under two ids."""
+    return c.unionByName(c.withColumn("idx", F.col("idx") + 1_000_000))
+
+
+def rank_with_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """Where each query's prototype, in its second copy, stands among vectors that all come twice."""
+    c = corpus(spark, d)
+    q = queries_of(c).join(prototypes(c).select("label", F.col("prototype").alias("positive")), "label").where("positive <> query_id")
+    return rounded(R.rank_of_positive(q.withColumn("positive", F.col("positive") + 1_000_000), _twice(c)))
+
+
+def neighbours_with_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus(spark, d)
+    return rounded(R.nearest(queries_of(c), _twice(c), 11).select("query_id", "rank", "idx"))
 
 
 def _summaries(spark: SparkSession, d: str) -> DataFrame:
@@ -185,6 +240,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         i2i_eval, i2i_ranked, i2i_ranked_sql_strategy, i2i_last_variant, i2i_per_query, fused_eval, single_positive_eval, vector_norms, repeat_cases,
         topk_predictions, case_routes, multi_route, case_metrics, case_summary, aggregated_candidates, combined_report, retrieval_report, best_route,
+        candidate_table, multi_route_summary, multi_route_report, late_neighbours, rank_with_duplicates, neighbours_with_duplicates,
     )
 }
 
@@ -274,3 +330,21 @@ SQL: dict[str, str] = {
     + ", ".join(f'{_PCT(chr(34) + f"avg_precision@{k}" + chr(34))} AS top{k}' for k in KS) + ", " + _PCT("(" + " + ".join(f'"avg_precision@{k}"' for k in KS) + ") / 6.0") + " AS average FROM c",
 }
 SQL["i2i_ranked_sql_strategy"] = SQL["i2i_ranked"]
+_TWICE = "twice AS (SELECT vec_id AS idx, embedding::DOUBLE[] AS v FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding::DOUBLE[] FROM embeddings)"
+SQL["late_neighbours"] = f"WITH {_Q}, {_R} SELECT query_id, rank, idx, round(score, 6) AS score FROM r WHERE rank > 5 AND rank <= 10"
+SQL["multi_route_summary"] = f"""WITH {_CASE_ROUTES}, {_CASE_M} SELECT round(avg(p10), 6) AS "avg_precision@10", round(avg(h10), 6) AS "avg_hit@10", count(*) AS query_count FROM m WHERE route = 'multi_route'"""
+SQL["multi_route_report"] = f"WITH {_CASE_ROUTES}, {_CASE_M}, t AS (SELECT route, round(avg(p10), 6) AS p, round(avg(h10), 6) AS h FROM m WHERE route IN ('multi_route', 'image_text_to_image') GROUP BY 1) SELECT replace(route, '_', '-') AS route, {_PCT('p')} AS top10, {_PCT('h')} AS hit10 FROM t"
+SQL["rank_with_duplicates"] = f"""WITH {_Q}, {_P}, {_TWICE}, s AS (SELECT q.query_id, t.idx, p.prototype + 1000000 AS positive, row_number() OVER (PARTITION BY q.query_id ORDER BY list_dot_product(q.v, t.v) DESC, t.idx) AS rank
+ FROM q JOIN p USING (label) CROSS JOIN twice t WHERE p.prototype <> q.query_id) SELECT query_id, positive, rank FROM s WHERE idx = positive"""
+SQL["neighbours_with_duplicates"] = f"WITH {_Q}, {_TWICE} SELECT * FROM (SELECT q.query_id, row_number() OVER (PARTITION BY q.query_id ORDER BY list_dot_product(q.v, t.v) DESC, t.idx) AS rank, t.idx FROM q CROSS JOIN twice t) WHERE rank <= 11"
+
+
+def _list_sql(route: str) -> str:
+    item = "rank || ':' || idx || ':p' || idx || ':images/' || label || '/' || idx || '.jpg'"
+    return f"""(SELECT key, string_agg({item}, ',' ORDER BY rank) AS x FROM (SELECT o.*, e.label FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, hits DESC, best_rank, idx) AS rank FROM
+ (SELECT key, idx, list_reduce(list(1.0::DOUBLE / rank ORDER BY repeat_id), lambda a, b: a + b) AS score, count(*) AS hits, min(rank) AS best_rank FROM (SELECT key, repeat_id, rank, idx FROM routes JOIN cases USING (case_id) WHERE route = '{route}' AND rank <= 10) GROUP BY 1, 2)) o
+ JOIN embeddings e ON e.vec_id = o.idx WHERE o.rank <= 10) GROUP BY key)"""
+
+
+SQL["candidate_table"] = f"""WITH {_CASE_ROUTES}, refs AS (SELECT key, string_agg(reference::VARCHAR, ',' ORDER BY repeat_id) AS ids, string_agg('images/' || key || '/' || reference || '.jpg', ',' ORDER BY repeat_id) AS paths FROM cases GROUP BY 1)
+ SELECT refs.key::BIGINT AS key, 'label ' || refs.key AS text_query, ids AS reference_indices, paths AS reference_image_paths, a.x AS multi_route_top10, b.x AS image_text_to_image_top10 FROM refs JOIN {_list_sql("multi_route")} a USING (key) JOIN {_list_sql("image_text_to_image")} b USING (key)"""

@@ -20,8 +20,8 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def web_results_to_read(spark: SparkSession, d: str) -> DataFrame:
-    """The first three results of each search of a run, less those without a link; every seventh has lost its link."""
-    results = _pages(spark, d).withColumn("link", F.when(F.col("result_id") % 7 != 0, F.col("url")))
+    """The first three results of each search of a run, less those without a link."""
+    results = _pages(spark, d).withColumn("link", F.col("url"))
     return rounded(V.results_to_read(results, ["run_name", "text_query"], "result_id", "link").select("run_name", "text_query", "result_rank", "result_id", "link"))
 
 
@@ -32,7 +32,7 @@ def web_reader_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def web_organic_links(spark: SparkSession, d: str) -> DataFrame:
     """Links of each search's raw JSON, put together from its results; a search without JSON takes its query as an address."""
-    item = F.struct("title", F.when(F.col("result_id") % 5 != 0, F.col("url")).alias("link"))
+    item = F.struct("title", F.col("url").alias("link"))
     raw = _pages(spark, d).groupBy("run_name", "text_query").agg(F.array_sort(F.collect_list(F.struct("result_id", item.alias("x")))).alias("a"))
     raw = raw.withColumn("payload", F.to_json(F.struct(F.transform("a", lambda a: a["x"]).alias("organic_results"))))
     ran = F.size("a") > 1
@@ -58,9 +58,9 @@ _HEAD, _REST = G.SUMMARY_PROMPT.split("{webpage_content}")
 _MIDDLE, _TAIL = _REST.split("{question}")
 
 SQL: dict[str, str] = {
-    "web_results_to_read": "SELECT run_name, text_query, result_rank, result_id, link FROM (SELECT *, CASE WHEN result_id % 7 <> 0 THEN url END AS link, row_number() OVER (PARTITION BY run_name, text_query ORDER BY result_id) AS result_rank FROM web_retrieval_results) WHERE result_rank <= 3 AND link <> ''",
+    "web_results_to_read": "SELECT run_name, text_query, result_rank, result_id, link FROM (SELECT *, url AS link, row_number() OVER (PARTITION BY run_name, text_query ORDER BY result_id) AS result_rank FROM web_retrieval_results) WHERE result_rank <= 3 AND link <> ''",
     "web_reader_rows": "SELECT result_id, CASE WHEN error IS NULL THEN length(reader_content_preview) END AS reader_content_length, CASE WHEN error IS NULL THEN left(reader_content_preview, 500) END AS reader_content_preview, error FROM (SELECT result_id, reader_content_preview, error FROM web_retrieval_results)",
-    "web_organic_links": """WITH r AS (SELECT *, CASE WHEN result_id % 5 <> 0 THEN url END AS link, row_number() OVER w AS n, count(*) OVER (PARTITION BY run_name, text_query) AS size FROM web_retrieval_results WINDOW w AS (PARTITION BY run_name, text_query ORDER BY result_id))
+    "web_organic_links": """WITH r AS (SELECT *, url AS link, row_number() OVER w AS n, count(*) OVER (PARTITION BY run_name, text_query) AS size FROM web_retrieval_results WINDOW w AS (PARTITION BY run_name, text_query ORDER BY result_id))
  SELECT run_name, text_query, row_number() OVER (PARTITION BY run_name, text_query ORDER BY n) - 1 AS pos, title, link FROM r WHERE size > 1 AND n <= 3 AND link <> '' UNION ALL SELECT run_name, text_query, 0, text_query, text_query FROM r WHERE size = 1""",
     "web_summary_prompts": f"SELECT result_id, 'system' AS role, md5({_T(G.SUMMARY_SYSTEM)}) AS content_md5 FROM web_retrieval_results WHERE reader_content_preview IS NOT NULL UNION ALL SELECT result_id, 'user', md5({_T(_HEAD)} || left(reader_content_preview, 30000) || {_T(_MIDDLE)} || {_T(QUESTION)} || {_T(_TAIL)}) FROM web_retrieval_results WHERE reader_content_preview IS NOT NULL",
     "web_run_counts": "SELECT run_name, count(*) AS pages, count(error) AS failed, round(avg(reader_content_length), 6) AS mean_length FROM web_retrieval_results GROUP BY run_name",

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+# Addresses, time limits and the names and values of parameters of the two services.
 SEARCH_URL, READER_PREFIX = "https://serpapi.com/search", "https://r.jina.ai/"
 SEARCH_TIMEOUT, READER_TIMEOUT = 60, 120
 

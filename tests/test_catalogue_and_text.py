@@ -38,6 +38,23 @@ def test_half_even_and_percent(spark):
     assert [tuple(x) for x in r] == [("0.12", "84.1%"), ("0.38", "100.0%"), ("54.78", "94.1%"), (None, None)]
 
 
+TIES = [2.675, 1.015, 8.345, 0.125, 0.375, 0.005, 0.015, 1e-9, 0.0, -2.5, -0.125, 1234567.125, 99999999.995, 4503599627370496.5, 1e21, 0.0245, 0.0805, 123.455, 5e-324, 90071992547.4099, 0.045, 999.995]
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2])
+def test_fixed_decimals_are_those_of_printf(spark, digits):
+    import random
+
+    rnd = random.Random(digits)
+    xs = TIES + [rnd.randint(0, 10**7) / 1000 for _ in range(3000)] + [rnd.random() * 10 ** rnd.randint(-4, 9) for _ in range(2000)] + [rnd.randint(0, 10**6) / 64 for _ in range(500)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", X.half_even_text(F.col("x"), digits).alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: f"{x:.{digits}f}" for i, x in enumerate(xs)}
+    odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (None,)], "x double").select(X.half_even_text(F.col("x")).alias("t")).collect()
+    assert [r.t for r in odd] == ["nan", "inf", "-inf", None]
+    with pytest.raises(ValueError):
+        X.half_even_text(F.col("x"), 3)
+
+
 def test_subcategory_queries_mode_ties_and_shared_folders(spark):
     rows = [dict(idx=i, category=c, subcategory=s, image=p) for i, (c, s, p) in enumerate([("c1", "B", "i/x/shared/1"), ("c2", "A", "i/y/shared/2"), ("c2", "A", "i/y/shared/3"), (None, "B", "i/y/shared/4"), ("c", None, "i/z/lone_one/5"), ("c", "s", "short")])]
     q = {r.key: r for r in A.subcategory_queries(product(spark, rows=rows), "slug_en").collect()}
@@ -64,6 +81,37 @@ def test_decoding_of_answers(spark):
     assert [s.error is None for s in got] == [True, True] + [False] * 6
 
 
+def test_candidates_without_a_product_are_an_error(spark):
+    lines, own = product(spark, rows=[dict(idx=1), dict(idx=2)]), spark.createDataFrame([("q", 1, 1), ("q", 2, 9)], "query_id string, cand_rank int, idx bigint")
+    assert K.candidate_documents(own, lines, strict=False).count() == 1 and K.candidate_documents(own.where("idx = 1"), lines).collect()[0].document.startswith("一级类目")
+    with pytest.raises(Exception, match="no idx 9"):
+        K.candidate_documents(own, lines).collect()
+
+
+def test_answers_come_in_batches_and_fail_alone(spark):
+    from shelfmark import models
+
+    class Picky:
+        def __init__(self, config):
+            pass
+
+        def generate(self, prompts, max_new_tokens):
+            if any("bad" in p for p in prompts):
+                raise ValueError("bad prompt")
+            return [f"{len(prompts)}:{p}" for p in prompts]
+
+        def close(self):
+            pass
+
+    models.GENERATORS["picky"] = Picky
+    try:
+        df = spark.createDataFrame([(i, p) for i, p in enumerate(["a", "b", None, "bad", "c", "d", "e"])], "i int, p string").coalesce(1)
+        got = {r.i: (r.a.value, r.a.error) for r in df.select("i", models.generated(F.col("p"), models.ModelConfig("picky"), batch_size=2).alias("a")).collect()}
+    finally:
+        del models.GENERATORS["picky"]
+    assert got == {0: ("2:a", None), 1: ("2:b", None), 2: (None, "no prompt"), 3: (None, "bad prompt"), 4: ("1:c", None), 5: ("2:d", None), 6: ("2:e", None)}
+
+
 def candidates(spark, n=7):
     return spark.createDataFrame([("q", i, 100 + i, f"p{i}", "A" if i % 2 else "B", "img", "doc") for i in range(1, n + 1)], "query_id string, cand_rank int, idx bigint, product_id string, subcategory string, image_path string, document string")
 

@@ -74,3 +74,18 @@ def test_records_without_children_and_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "[1]", "x"), (4, '{"colors": null}', "x"), (5, '{"colors": ["r"', "x"), (6, '{"colors": ["r"]}', "x"), (6, '{"colors": ["r"]}', "x")], "record_id bigint, payload string, name string")
     assert [tuple(r) for r in flatten_payloads(df).collect()] == [(6, "color", 1, "record", 0, "r")] * 2
     assert flatten_payloads(df.limit(0)).count() == 0
+
+
+def test_records_nested_as_deep_as_they_come():
+    deep = lambda n, inner: '{"a":' * n + inner + "}" * n
+    got = rows('{"parameters": ' + deep(3000, '{"p": "x"}') + "}")
+    assert len(got) == 3001 and got[-1] == ("parameter", 1, "group", 3000, "p") and got[1] == ("group", 2, "group", 1, "a")
+    assert rows('{"colors": ' + '{"name":' * 3000 + '"red"' + "}" * 3000 + "}") == [("color", 1, "record", 0, "red")]
+    assert rows('{"colors": ' + '{"options":' * 3000 + '["red"]' + "}" * 3000 + "}") == [("color", 1, "record", 0, "red")]
+    # A group's rows stand before those of what follows it.
+    assert [r[4] for r in rows('{"parameters": {"g": {"h": {"p": 1}, "q": 2}, "r": 3}}')] == ["g", "h", "p", "q", "r"]
+
+
+@pytest.mark.parametrize("space", [" " * 40, "\t\n" * 9, "\u3000", "\u00a0\u2003", "\ufeff", ""])
+def test_json_in_text_behind_white_space(space):
+    assert rows(json.dumps({"colors": space + '["red"]'}, ensure_ascii=False)) == rows(json.dumps({"colors": space + '["red"]'})) == [("color", 1, "record", 0, "red")]

@@ -134,3 +134,38 @@ def test_reference_is_in_none_of_its_routes(spark):
 def test_first_best_row_wins(spark):
     rows = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 2.0)], "pos int, s double")
     assert R.first_best(rows, F.col("s"), "pos").first().pos == 1
+
+
+def test_equal_vectors_tie_wherever_they_stand(spark):
+    """Duplicates in other partitions and places of a batch have the same score to the last bit."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(60, 33))
+    vectors = base[np.arange(600) % 60]
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "idx bigint, vector array<double>").repartition(5)
+    queries = spark.createDataFrame([(q, rng.normal(size=33).tolist(), int(rng.integers(0, 600))) for q in range(40)], "query_id bigint, vector array<double>, positive bigint")
+    score = {r.query_id: (vectors * np.array(r.vector)).sum(axis=1) for r in queries.collect()}
+    want = {r.query_id: 1 + sum(1 for i in range(600) if (-score[r.query_id][i], i) < (-score[r.query_id][r.positive], r.positive)) for r in queries.collect()}
+    for block in (None, 7):
+        assert {r.query_id: r["rank"] for r in R.rank_of_positive(queries, corpus, block=block).collect()} == want
+        got = {}
+        for r in R.nearest(queries, corpus, 25, block=block).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.idx)
+        assert got == {q: np.lexsort((np.arange(600), -s))[:25].tolist() for q, s in score.items()}
+
+
+def test_norms_are_computed_once_a_vector(spark):
+    import time
+
+    took = []
+    for size in (256, 2048):
+        df = spark.range(400).selectExpr("id", f"transform(sequence(1, {size}), i -> cast(i + id as double)) as v").cache()
+        df.count()
+        best = 1e9
+        for _ in range(3):
+            began = time.time()
+            df.select(l2_normalize(F.col("v")).alias("a"), fuse(F.col("v"), F.col("v")).alias("b")).write.format("noop").mode("overwrite").save()
+            best = min(best, time.time() - began)
+        took.append(best)
+    # Eight times the size; the square would be sixty-four times.
+    assert took[1] < 30 * took[0]
+    assert spark.range(1).select(l2_normalize(F.lit(None).cast("array<double>"))).first()[0] is None
