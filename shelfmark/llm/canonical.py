@@ -68,27 +68,31 @@ def apart(letters: Counter, n: int, b: str) -> int:
 
 
 class BKTree:
-    """Texts under ``distance``; ``within`` returns every text at most ``radius`` away."""
+    """Texts under ``distance``; ``within`` returns every text at most ``radius`` away.
 
-    def __init__(self, words: list[str]):
-        self.root: tuple[str, dict] | None = None
-        for w in sorted(set(words)):
-            if self.root is None:
-                self.root = (w, {})
+    ``nodes`` are plain data, each a text and the places of the nodes below it by their distance, so a tree built once can be sent on.
+    """
+
+    def __init__(self, words: list[str] | None = None, nodes: list[tuple[str, dict[int, int]]] | None = None):
+        self.nodes = [] if nodes is None else nodes
+        for w in sorted(set(words or ())):
+            if not self.nodes:
+                self.nodes.append((w, {}))
                 continue
-            at = self.root
-            while (d := distance(w, at[0])) in at[1]:
-                at = at[1][d]
+            at = 0
+            while (d := distance(w, self.nodes[at][0])) in self.nodes[at][1]:
+                at = self.nodes[at][1][d]
             if d:
-                at[1][d] = (w, {})
+                self.nodes[at][1][d] = len(self.nodes)
+                self.nodes.append((w, {}))
 
     def within(self, word: str, radius: int, known: dict[str, int] | None = None) -> list[tuple[int, str]]:
         """``known`` keeps the distances from ``word`` between searches of growing radius."""
         known = {} if known is None else known
-        found, stack = [], [self.root] if self.root else []
+        found, stack = [], [0] if self.nodes else []
         letters = Counter(word)
         while stack:
-            w, below = stack.pop()
+            w, below = self.nodes[stack.pop()]
             if not below and apart(letters, len(word), w) > radius:
                 # Nothing hangs below, and the letters alone put it out of reach.
                 continue
@@ -140,12 +144,15 @@ class Matcher:
     which say nothing about the entry; ``parts`` tells whether a piece of a Han name, or more than
     it, may stand for it (true of kinds of goods, false of proper names)."""
 
-    def __init__(self, names: list[tuple[str, str]], families: list[str], parts: bool):
-        self.of: dict[str, set[str]] = {}
-        for name, entry in names:
-            if form := squeezed(plain(name)):
-                self.of.setdefault(form, set()).add(entry)
-        self.tree = BKTree(list(self.of))
+    def __init__(self, names: list[tuple[str, str]], families: list[str], parts: bool, built: tuple[dict[str, set[str]], list] | None = None):
+        if built is None:
+            self.of: dict[str, set[str]] = {}
+            for name, entry in names:
+                if form := squeezed(plain(name)):
+                    self.of.setdefault(form, set()).add(entry)
+            self.tree = BKTree(list(self.of))
+        else:
+            self.of, self.tree = built[0], BKTree(nodes=built[1])
         self.parts = parts
         self.families = {squeezed(plain(f)) for f in families}
         self.longest = max(map(len, self.of), default=0)
@@ -333,12 +340,13 @@ def match_values(values: DataFrame, names: DataFrame, families: list[str], *, pa
     shards = max(1, -(-names.count() // shard_forms))
 
     def held(k: int):
-        # At most about ``shard_forms`` names reach the driver at a time.
-        return sc.broadcast([(r.name, r.entry) for r in names.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == k).collect()])
+        # At most about ``shard_forms`` names reach the driver at a time; their tree is built there, once for all tasks.
+        built = Matcher([(r.name, r.entry) for r in names.where(F.pmod(F.xxhash64("name"), F.lit(shards)) == k).collect()], [], False)
+        return sc.broadcast((built.of, built.tree.nodes))
 
     if shards == 1:
-        return distinct.mapInArrow(_matching(lambda all_names=held(0): Matcher(all_names.value, families, parts)), "value string, canonical string")
-    found = [distinct.mapInArrow(_finding(lambda some=held(k): Shard(some.value, families, parts)), f"value string, finds {_FINDS_DDL}") for k in range(shards)]
+        return distinct.mapInArrow(_matching(lambda tree=held(0): Matcher([], families, parts, tree.value)), "value string, canonical string")
+    found = [distinct.mapInArrow(_finding(lambda tree=held(k): Shard([], families, parts, tree.value)), f"value string, finds {_FINDS_DDL}") for k in range(shards)]
     of_all = reduce(DataFrame.unionByName, found).groupBy("value").agg(F.flatten(F.collect_list("finds")).alias("finds"))
     return of_all.mapInArrow(_recalling(families, parts), "value string, canonical string")
 

@@ -26,6 +26,10 @@ WORDS, CHARACTERS = 24, 40
 SHARD = 600_000
 #: Characters of passages broadcast at once.
 BLOCK_CHARS = 8_000_000
+#: Places of matches gone through at once.
+PLACES = 1 << 20
+MATCH = ["doc_id", "item_id", "length", "verbatim", "doc_at", "item_at"]
+MATCH_DDL = ", ".join(f"{c} bigint" for c in MATCH)
 
 _MARK = re.compile(r"(?m)^[^\S\n]*(?:(?:[>|#*+•·‣–—-]+|\(?\d{1,3}[.)、])(?=\s)[^\S\n]*|>+)+")
 _WORD = re.compile(r"[^\W_]+(?:['’‐‑\-][^\W_]+)*")
@@ -145,19 +149,26 @@ class Passages:
         self.begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.room = np.repeat(np.cumsum(sizes), sizes) - np.arange(self.tokens.size)
 
-    def search(self, docs: list[tuple[int, np.ndarray]]) -> set[tuple[int, int]]:
-        """``(document, item)`` of the leaks in one shard."""
-        sizes = np.array([s.size for _, s in docs], np.int64)
-        stream = np.concatenate([s for _, s in docs])
+    def search(self, docs: list[tuple[int, int, np.ndarray]]) -> dict[tuple[int, int], tuple[int, int, int, int]]:
+        """By ``(document, item)``, the longest row in one shard that makes a leak: its length, the verbatim part of it, and where it
+        begins in the document and in the passage. ``docs`` are documents, the place their tokens begin at, and the tokens."""
+        sizes = np.array([s.size for *_, s in docs], np.int64)
+        stream = np.concatenate([s for *_, s in docs])
         values, dense = np.unique(stream, return_inverse=True)
         ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(docs)), sizes)
         array = SuffixArray(dense.astype(np.int64), ends[owner] - np.arange(stream.size), values.size, self.depth)
         spot = np.minimum(np.searchsorted(values, self.tokens), values.size - 1)
         starts, lo, hi = array.intervals(np.where(values[spot] == self.tokens, spot, -1), self.room)
-        found: set[tuple[int, int]] = set()
-        if not starts.size:
-            return found
+        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        # A phrase may recur in many places: the places are gone through in slices.
+        cuts = np.flatnonzero(np.diff(np.cumsum(hi - lo) // PLACES)) + 1 if starts.size else []
+        for some in np.split(np.arange(starts.size), cuts):
+            self.grow(docs, stream, sizes, ends, owner, array, starts[some], lo[some], hi[some], best)
+        return {(docs[d][0], i): row for (d, who), row in best.items() for i in self.items[who]}
+
+    def grow(self, docs, stream, sizes, ends, owner, array, starts, lo, hi, best) -> None:
+        """Each match that begins at ``starts``, grown over one replaced token; the longest of each document and passage is kept."""
         counts = hi - lo
         test = np.repeat(starts, counts)
         place = array.order[np.repeat(lo, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
@@ -166,17 +177,17 @@ class Passages:
         inner[inner] = self.tokens[test[inner] - 1] == stream[place[inner] - 1]
         for t, p in zip(test[~inner].tolist(), place[~inner].tolist(), strict=True):
             d, who = int(owner[p]), int(self.owner[t])
-            if (docs[d][0], self.items[who][0]) in found:
-                continue
             a0, b0 = int(self.begin[t]), int(ends[d] - sizes[d])
             a1, b1 = t + int(self.room[t]), int(ends[d])
             run = self.agree(stream, t, p, min(a1 - t, b1 - p))
             after = self.agree(stream, t + run + 1, p + run + 1, min(a1 - t, b1 - p) - run - 1)
             before = self.agree(stream, t - 2, p - 2, min(t - a0, p - b0) - 1, -1)
             # A replaced token is part of the row only if the row goes on behind it.
-            if max(run, run + 1 + after if after else 0, run + 1 + before if before else 0) >= self.need:
-                found |= {(docs[d][0], i) for i in self.items[who]}
-        return found
+            rows = [(run, run, p, t)] + ([(run + 1 + after, max(run, after), p, t)] if after else []) + ([(run + 1 + before, max(run, before), p - before - 1, t - before - 1)] if before else [])
+            length, verbatim, at, begin = max(rows)
+            if length >= self.need:
+                row = (length, verbatim, at - b0 + docs[d][1], begin - a0)
+                best[d, who] = max(best.get((d, who), row), row, key=lambda r: (r[0], r[1], -r[2], -r[3]))
 
     def agree(self, stream: np.ndarray, t: int, p: int, most: int, way: int = 1) -> int:
         """How many tokens agree from both places on, forwards or backwards."""
@@ -197,6 +208,7 @@ class Passages:
 def _searching(held, shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_words, by_characters = Passages(held.value[True], True), Passages(held.value[False], False)
+        longest = max((int(p.room.max(initial=0)) for p in (by_words, by_characters)), default=0)
         least_han = by_characters.least(lambda c: 0x3400 <= c <= 0x9FFF)
         waiting: dict[bool, list] = {True: [], False: []}
         size = {True: 0, False: 0}
@@ -204,14 +216,14 @@ def _searching(held, shard: int):
         def flush(mode: bool) -> Iterator[pa.RecordBatch]:
             docs, waiting[mode], size[mode] = waiting[mode], [], 0
             if docs and (found := (by_words if mode else by_characters).search(docs)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(found), strict=True)], ["doc_id", "item_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*[(*k, *v) for k, v in sorted(found.items())], strict=True)], MATCH)
 
         def put(mode: bool, doc: int, stream: np.ndarray) -> Iterator[pa.RecordBatch]:
-            # A text beyond a shard goes in windows that overlap by more than a leak needs.
-            lap = 2 * CHARACTERS
+            # A text beyond a shard goes in windows that overlap by more than a passage is long, so no row is cut.
+            lap = min(shard // 2, max(2 * CHARACTERS, 2 * longest))
             for at in range(0, max(1, stream.size - lap), shard - lap):
                 part = stream[at : at + shard]
-                waiting[mode].append((doc, part))
+                waiting[mode].append((doc, at, part))
                 size[mode] += part.size
                 if size[mode] >= shard:
                     yield from flush(mode)
@@ -236,12 +248,13 @@ def _searching(held, shard: int):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, shard: int = SHARD, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, item_id`` of the documents holding a long enough row of an item's passage.
+def matches(docs: DataFrame, items: DataFrame, *, shard: int = SHARD, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``doc_id, item_id, length, verbatim, doc_at, item_at`` of the documents holding a long enough row of an item's passage.
 
     A row is ``WORDS`` words for items whose ``lang`` is English, else ``CHARACTERS`` letters and digits, at most one
-    of them replaced. Items that share a passage are found together. Null and empty texts, and
-    items without a passage long enough, give nothing. Items are searched in blocks whose passages are
+    of them replaced. Of each document and item the longest row is told, in these tokens: its length, the longest part of it that is
+    verbatim, and the tokens before it in the document and in the passage. Items that share a passage are found together. Null and
+    empty texts, and items without a passage long enough, give nothing. Items are searched in blocks whose passages are
     of bounded size; every block against all documents; the corpus isn't shuffled but for the result.
     """
     sc = docs.sparkSession.sparkContext
@@ -256,9 +269,17 @@ def leaks(docs: DataFrame, items: DataFrame, *, shard: int = SHARD, block_chars:
             english = (r.lang or "").lower().startswith("en") or not r.lang and not _HAN.search(text)
             own[english][text].append(r.item_id)
         held = sc.broadcast({m: [(t, sorted(i)) for t, i in sorted(p.items())] for m, p in own.items()})
-        found = texts.mapInArrow(_searching(held, shard), "doc_id bigint, item_id bigint")
+        found = texts.mapInArrow(_searching(held, shard), MATCH_DDL)
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    # Windows of one text, and documents or items that come twice, may each tell a row.
+    best = F.max(F.struct("length", "verbatim", (-F.col("doc_at")).alias("d"), (-F.col("item_at")).alias("i"))).alias("x")
+    rows = out.groupBy("doc_id", "item_id").agg(best)
+    return rows.select("doc_id", "item_id", "x.length", "x.verbatim", (-F.col("x.d")).alias("doc_at"), (-F.col("x.i")).alias("item_at"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """``doc_id, item_id`` of the documents in which an item leaked; see ``matches``."""
+    return matches(docs, items, **options).select("doc_id", "item_id")
 
 
 def without_leaks(docs: DataFrame, found: DataFrame) -> DataFrame:

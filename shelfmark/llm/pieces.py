@@ -155,7 +155,8 @@ def _inside(text: str, kind: list[list[int]] | int, low: int, high: int) -> list
 
 def _cutting(held, limit: int, overlap: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(Encoder(held.value), limit, overlap, least)
+        # Counting needs no tree; only very long texts are halved.
+        cutter = Cutter(Encoder(held.value, leaf=1 << 14), limit, overlap, least)
         for b in bounded(batches, 1):
             rows = [(i, k, s, e, o, r, c, t[s:e]) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for k, (s, e, o, r, c) in enumerate(cutter.cut(t), 1)]
             for at in range(0, len(rows), 20_000):

@@ -62,6 +62,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
+def p6_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the ids decode to."""
+    return tokens.texts_of(p6_ids(spark, d))
+
+
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The longest row of each item's passage in each document, where it stands in both, and how much of it is verbatim."""
+    return leaks.matches(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
@@ -112,4 +122,6 @@ SQL["p1_found"] = (
     "SELECT a.field, a.idx AS idx_a, b.idx AS idx_b FROM k a JOIN k b ON a.field = b.field AND a.look = b.look WHERE a.idx < b.idx AND a.raw <> b.raw"
 )
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p4_found, p4_groups, p5_found, p6_ids, p7_found, p7_clean, p8_pieces)}
+SQL["p6_texts"] = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_texts, p3_found, p4_found, p4_groups, p5_found, p6_ids, p6_texts, p7_found, p7_matches, p7_clean, p8_pieces)}

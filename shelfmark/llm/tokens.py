@@ -1,15 +1,15 @@
 """Problems 6 and 8: a corpus as token ids, and long texts in pieces under a token limit.
 
-Long texts are encoded as a tree: halves on their own, neighbours joined. Joining is exact. The
-pattern that splits text before the merges scans from left to right without looking back, so its scan
-from a boundary on is the same whatever came before; a window over the seam is split again and grown
-until it meets a boundary of the right half, from where nothing can change any more.
+Texts are encoded as a tree: halves on their own, neighbours joined. Joining is exact. The pattern that splits text before
+the merges has places where a match ends whatever stands around them (see ``stable``): left of the last such place before a seam,
+and right of the first behind it, no token can change. The window between the two, grown outwards from the seam until
+they are met, is encoded again. Decoding joins the bytes of the halves in the same way.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,96 +22,89 @@ from shelfmark.plans.runtime import bounded
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the public rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of a leaf; shorter texts are encoded at once.
-LEAF = 16_384
-#: The pattern looks at most two characters past the start of a match and one past its end.
-LOOK = 3
+#: Characters of a leaf; shorter texts are leaves themselves.
+LEAF = 512
+
+
+def stable(text: str, at: int) -> bool:
+    """Whether every split of a text that holds these two neighbours has a boundary between them.
+
+    Each match of the pattern is white space, or ends in letters, in numbers, or in other signs, with at most one space in
+    front. So none goes on from a sign into white space, from a letter into what isn't one, or from a number into what isn't one.
+    """
+    before, after = text[at - 1], text[at]
+    if before.isspace() or unicodedata.category(after) in ("Cn", "Co"):
+        return False
+    if after in " \n\r\t":
+        return True
+    kind = unicodedata.category(before)[0]
+    return kind in "LN" and unicodedata.category(after)[0] != kind
 
 
 class Encoder:
     """Ids of texts under byte-level merges. ``ranks`` is the content of a public rank file."""
 
     def __init__(self, ranks: bytes, pattern: str = PATTERN, leaf: int = LEAF):
-        import regex
         import tiktoken
 
         merges = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
         self.core = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
-        self.split = regex.compile(pattern)
         self.sizes = np.zeros(max(merges.values()) + 1, np.int64)
+        self.bytes = {rank: token for token, rank in merges.items()}
         for token, rank in merges.items():
             self.sizes[rank] = len(token)
-        self.leaf = leaf
-
-    def ends(self, text: str, a: int, b: int) -> list[int]:
-        return [m.end() for m in self.split.finditer(text, a, b)]
+        self.leaf = max(leaf, 2)
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        return self.core.encode_ordinary(text) if len(text) <= self.leaf else self.tree(text, 0, len(text))[0]
+        return self.ids(text or "").tolist()
 
     def ids(self, text: str) -> np.ndarray:
-        """The same ids without a Python number for each."""
-        if not text:
-            return np.zeros(0, np.int64)
-        return self.core.encode_to_numpy(text, disallowed_special=()) if len(text) <= self.leaf else np.array(self.tree(text, 0, len(text))[0], np.int64)
+        return self.tree(text, 0, len(text)) if text else np.zeros(0, np.uint32)
+
+    def flat(self, text: str) -> np.ndarray:
+        """The ids of a text encoded at once."""
+        return self.core.encode_to_numpy(text, disallowed_special=())
 
-    def tree(self, text: str, a: int, b: int) -> tuple[list[int], list[int]]:
-        """Ids of ``text[a:b]`` and the ends of its splits."""
+    def tree(self, text: str, a: int, b: int) -> np.ndarray:
+        """Ids of ``text[a:b]``."""
         if b - a <= self.leaf:
-            return self.core.encode_ordinary(text[a:b]), self.ends(text, a, b)
+            return self.flat(text[a:b])
         mid = (a + b) // 2
         return self.join(text, a, mid, b, self.tree(text, a, mid), self.tree(text, mid, b))
 
-    def join(self, text: str, a: int, mid: int, b: int, left: tuple[list[int], list[int]], right: tuple[list[int], list[int]]) -> tuple[list[int], list[int]]:
-        (lids, lends), (rids, rends) = left, right
-        kept = bisect_right(lends, mid - LOOK)
-        start = lends[kept - 1] if kept else a
-        known = set(rends)
-        known.add(mid)
-        width = 32
-        while True:
-            stop = min(b, mid + width)
-            ends = self.ends(text, start, stop)
-            if stop == b:
-                meet = b
-                break
-            meet = next((e for e in ends if e >= mid and e <= stop - LOOK and e in known), -1)
-            if meet >= 0:
-                break
-            width *= 2
-        head = self.without(lids, text[start:mid], from_end=True)
-        tail = self.without(rids, text[mid:meet], from_end=False)
-        if head is None or tail is None:
-            return self.core.encode_ordinary(text[a:b]), self.ends(text, a, b)
-        # Split by split: cut off after white space, the window alone would be split in another way.
-        seam, at = [], start
-        for e in ends[: bisect_right(ends, meet)]:
-            seam += self.core._encode_single_piece(text[at:e])
-            at = e
-        ids = head + seam + tail
-        return ids, lends[:kept] + [e for e in ends if e <= meet] + rends[bisect_right(rends, meet) :]
-
-    def without(self, ids: list[int], text: str, from_end: bool) -> list[int] | None:
-        """The ids but those of ``text`` at the end or start; None if no id ends where the text does."""
-        size, n = len(text.encode()), 0
-        order = reversed(ids) if from_end else ids
-        if size:
-            for n, i in enumerate(order, 1):  # noqa: B007
-                size -= int(self.sizes[i])
-                if size <= 0:
-                    break
-        if size:
-            return None
-        return ids[: len(ids) - n] if from_end else ids[n:]
+    def join(self, text: str, a: int, mid: int, b: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ids of two neighbours as one: what lies outside the window around their seam stays."""
+        p, q = mid - 1, mid + 1
+        while p > a and not stable(text, p):
+            p -= 1
+        while q < b and not stable(text, q):
+            q += 1
+        p, q = max(p, a), min(q, b)
+        head, tail = left[: len(left) - self.covering(left[::-1], text[p:mid])], right[self.covering(right, text[mid:q]) :]
+        return np.concatenate([head, self.flat(text[p:q]), tail])
+
+    def covering(self, ids: np.ndarray, text: str) -> int:
+        """How many ids, from the first on, hold the text; a boundary of the split is one of tokens too."""
+        size = len(text.encode())
+        return int(np.searchsorted(np.cumsum(self.sizes[ids[:size]]), size, "left")) + 1 if size else 0
+
+    def raw(self, ids: list[int]) -> bytes:
+        """The bytes of ids, joined up the tree."""
+        if len(ids) <= self.leaf:
+            return b"".join([self.bytes[i] for i in ids])
+        mid = len(ids) // 2
+        return self.raw(ids[:mid]) + self.raw(ids[mid:])
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; a character may be spread over several of them, so bytes become text only at the root."""
+        return self.raw(ids).decode()
 
 
 def _encoding(held, leaf: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(held.value, leaf=leaf)
         for b in bounded(batches, 1):
-            ids = [encoder.ids(t or "") for t in b.column(1).to_pylist()]
+            ids = [encoder.ids(t or "") for t in b.column(1).to_pylist()]  # one array a text, no Python number a token
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([i.size for i in ids], out=offsets[1:])
             flat = np.concatenate(ids).astype(np.int32)
@@ -132,3 +125,19 @@ def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, *, leaf: int = LEAF)
     Strings that look like special tokens are ordinary text. One pass over the rows, no shuffle.
     """
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_encoding(_ranks(docs, tokenizer), leaf), "doc_id bigint, ids array<int>")
+
+
+def _decoding(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(held.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encoder.decode(i or []) for i in part.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+    return run
+
+
+def texts_of(ids: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``doc_id, text`` from ``doc_id, ids``: the way back; null and empty lists give the empty text."""
+    return ids.select(F.col("doc_id").cast("bigint").alias("doc_id"), "ids").mapInArrow(_decoding(_ranks(ids, tokenizer)), "doc_id bigint, text string")

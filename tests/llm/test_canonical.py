@@ -34,6 +34,12 @@ def test_distance_is_a_metric(a, b, c):
     assert distance(a, c) <= distance(a, b) + distance(b, c) and (distance(a, b) == 0) == (a == b)
 
 
+def test_a_tree_from_its_nodes_is_the_tree():
+    words = [f"{a}{b}cd" for a in "abcde" for b in "abcde"]
+    tree = BKTree(words)
+    assert sorted(BKTree(nodes=tree.nodes).within("abcx", 2)) == sorted(tree.within("abcx", 2)) and BKTree().within("a", 3) == []
+
+
 @given(st.lists(WORDS, max_size=25), WORDS, st.integers(0, 3))
 def test_tree_finds_everything_within_the_radius(words, q, r):
     assert sorted(BKTree(words).within(q, r)) == sorted((d, w) for w in set(words) if (d := distance(q, w)) <= r)

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shelfmark.llm.leaks import SuffixArray, even, leaks, passage, without_leaks, words
+from shelfmark.llm.leaks import SuffixArray, even, leaks, matches, passage, without_leaks, words
 
 RND = random.Random(11)
 ENGLISH = [" ".join("".join(RND.choice("abcdefgh") for _ in range(RND.randint(2, 7))) for _ in range(60)) for _ in range(3)]
@@ -54,6 +54,19 @@ def test_leaks(spark):
     want = {(1, 1), (1, 2), (3, 1), (3, 2), (5, 3), (7, 3), (8, 3), (10, 4), (14, 4), (14, 7), (16, 3), (17, 1), (17, 2)}
     for options in ({}, {"shard": 500}, {"block_chars": 200}):
         assert {tuple(r) for r in leaks(df, items, **options).collect()} == want, options
+    rows = {(r.doc_id, r.item_id): (r.length, r.verbatim, r.doc_at, r.item_at) for r in matches(df, items).collect()}
+    assert rows.keys() == want and rows[1, 1] == rows[1, 2] == (24, 24, 5, 5) and rows[3, 1] == (24, 12, 5, 5) and rows[5, 3] == (40, 40, 2, 10)
+    assert rows[8, 3] == (40, 20, 0, 10) and rows[14, 7] == (45, 45, 0, 0) and rows[16, 3] == (90, 90, 3000, 0)
+    assert {(r.doc_id, r.item_id): (r.length, r.verbatim, r.doc_at, r.item_at) for r in matches(df, items, shard=500).collect()} == rows
     found = leaks(df, items)
     assert {r.doc_id for r in without_leaks(df, found).collect()} == set(docs) - {d for d, _ in want}
     assert leaks(df.limit(0), items).count() == 0 and leaks(df, items.limit(0)).count() == 0
+
+
+def test_a_phrase_met_in_many_places(spark):
+    """Thousands of places of one phrase in one shard, gone through in slices."""
+    phrase = row(ENGLISH[2], 0, 30, " ")
+    items = spark.createDataFrame([(k, "en", f"Read this.\n{phrase} {ENGLISH[k % 2]}\nWho?") for k in range(4)], "item_id bigint, lang string, text string")
+    docs = spark.createDataFrame([(k, f"{phrase} {phrase}") for k in range(1500)], "doc_id bigint, text string")
+    got = matches(docs, items)
+    assert got.count() == 6000 and got.where("length = 30 and verbatim = 30 and doc_at = 0 and item_at = 0").count() == 6000

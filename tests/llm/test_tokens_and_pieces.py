@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from shelfmark.llm.pieces import Cutter, landmarks, pieces
-from shelfmark.llm.tokens import TOKENIZER, Encoder, token_ids
+from shelfmark.llm.tokens import LEAF, TOKENIZER, Encoder, stable, texts_of, token_ids
 
 pytestmark = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="needs the public rank file")
 TEXT = st.text(st.sampled_from(" \n\t'slldre  ，。a1é中文　😀<|>éá\r.-"), max_size=120)
@@ -30,6 +30,34 @@ def test_tree_on_long_texts(small):
         assert small.core.decode(small.encode(text)) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(TEXT, st.integers(1, 119))
+def test_stable_places_are_boundaries_of_every_split(small, text, at):
+    if at < len(text) and stable(text, at):
+        assert small.core.encode_ordinary(text) == small.core.encode_ordinary(text[:at]) + small.core.encode_ordinary(text[at:])
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXT)
+def test_decoding_gives_the_text_back(small, text):
+    assert small.decode(small.encode(text)) == text
+
+
+def test_texts_beyond_a_leaf_go_through_the_tree():
+    encoder, joins = Encoder(open(TOKENIZER, "rb").read()), []
+    join = encoder.join
+    encoder.join = lambda *a: joins.append(1) or join(*a)
+    text = prose(random.Random(2), 200)
+    assert encoder.encode(text) == encoder.core.encode_ordinary(text) and len(joins) >= len(text) // LEAF - 1
+
+
+def test_ids_and_texts_there_and_back(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, None), (3, ""), (4, "中文😀é " * 3000)]
+    got = texts_of(token_ids(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert {r.doc_id: r.text for r in got.collect()} == {k: t or "" for k, t in rows}
+    assert texts_of(spark.createDataFrame([(1, None), (2, [])], "doc_id bigint, ids array<int>")).where("text = ''").count() == 2
+
+
 def test_ids_of_rows(spark, small):
     rows = [(1, "a <|endoftext|> b", 9), (2, None, 9), (3, "", 9), (4, "中文" * 5000, 9), (5, "a <|endoftext|> b", 9)]
     got = {r.doc_id: r.ids for r in token_ids(spark.createDataFrame(rows, "doc_id bigint, text string, ids int")).collect()}
