@@ -43,9 +43,11 @@ def landmarks(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     mixed = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    rolled = np.zeros(mixed.size, np.uint64)
-    for k in range(min(WINDOW, mixed.size)):
-        rolled[k:] += mixed[: mixed.size - k] * np.uint64(2 * k + 3)
+    # The sum of (2 k + 3) * mixed[i - k] over the window, modulo 2^64, by two prefix sums.
+    at = np.arange(mixed.size, dtype=np.uint64)
+    sums, placed = np.cumsum(mixed, dtype=np.uint64), np.cumsum(mixed * at, dtype=np.uint64)
+    sums[WINDOW:], placed[WINDOW:] = sums[WINDOW:] - sums[:-WINDOW], placed[WINDOW:] - placed[:-WINDOW]
+    rolled = (np.uint64(2) * at + np.uint64(3)) * sums - np.uint64(2) * placed
     rolled ^= rolled >> np.uint64(31)
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
     return np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(ONE_IN) == 0) + 1
@@ -94,7 +96,7 @@ class Cutter:
             inside = _inside(text, kind, low, high)
             if not inside:
                 continue
-            for m in marks[np.searchsorted(marks, low) : np.searchsorted(marks, high, "right")].tolist():
+            for m in marks[marks.searchsorted(low) : marks.searchsorted(high, "right")].tolist():
                 k = bisect_left(inside, m)
                 return min(inside[max(0, k - 1) : k + 1], key=lambda p: (abs(p - m), p))
             return inside[-1]
@@ -124,7 +126,7 @@ class Positions:
 
     def tokens(self, pos: int) -> int:
         """Tokens that end before the character at ``pos``."""
-        return int(np.searchsorted(self.up_to, pos, "left"))
+        return int(self.up_to.searchsorted(pos, "left"))
 
     def fits(self, count: int) -> int:
         """The characters that the first ``count`` tokens hold."""
@@ -143,7 +145,7 @@ class Positions:
 
     def between(self, a: int, b: int) -> int:
         """Tokens of the text from one clean place to another."""
-        return int(np.searchsorted(self.up_to, b, "right") - np.searchsorted(self.up_to, a, "right"))
+        return int(self.up_to.searchsorted(b, "right") - self.up_to.searchsorted(a, "right"))
 
 
 def _inside(text: str, kind: list[list[int]] | int, low: int, high: int) -> list[int]:
