@@ -38,8 +38,8 @@ PIECES = pa.schema(
 PIECES_DDL = "doc_id bigint, piece_no int, char_start bigint, char_end bigint, overlap_chars int, overlap_tokens int, n_tokens int, text string"
 
 
-def landmarks(text: str) -> np.ndarray:
-    """Positions whose preceding ``WINDOW`` characters hash to a landmark, in ascending order."""
+def rolling(text: str) -> np.ndarray:
+    """Of every character, the hash of the ``WINDOW`` characters up to it."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     mixed = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
@@ -50,6 +50,11 @@ def landmarks(text: str) -> np.ndarray:
     rolled = (np.uint64(2) * at + np.uint64(3)) * sums - np.uint64(2) * placed
     rolled ^= rolled >> np.uint64(31)
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
+    return rolled
+
+
+def landmarks(rolled: np.ndarray) -> np.ndarray:
+    """Positions whose preceding ``WINDOW`` characters hash to a landmark, in ascending order."""
     return np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(ONE_IN) == 0) + 1
 
 
@@ -68,14 +73,15 @@ class Cutter:
             return [(0, len(text), 0, 0, len(ids))] if text else []
         n, whole = len(text), Positions(text, self.encoder.sizes[ids])
         strong = [sorted({m.end() for b in BREAKS[:3] for m in b.finditer(text)} - {0})]
-        marks = landmarks(text)
+        rolled = rolling(text)
+        marks = landmarks(rolled)
         count = lambda a, b: whole.between(a, b) if whole.clean(a) and whole.clean(b) else len(self.encoder.encode(text[a:b]))
         out, new_from = [], 0
         while new_from < n:
             done = whole.tokens(new_from) + (new_from > 0)
             first = not out
             most = self.most + (self.overlap if first else 0)
-            end = n if len(ids) - done <= most else self.end(text, strong, marks, new_from, whole.fits(done + self.least), whole.fits(done + most))
+            end = n if len(ids) - done <= most else self.end(text, strong, rolled, marks, new_from, whole.fits(done + self.least), whole.fits(done + most))
             at = new_from if first else self.back(text, strong, new_from, whole.fits(max(1, whole.tokens(new_from) - self.overlap + 1)))
             while True:
                 size, repeated = count(at, end), count(at, new_from) if at < new_from else 0
@@ -89,7 +95,7 @@ class Cutter:
             new_from = end
         return out
 
-    def end(self, text: str, strong: list[list[int]], marks: np.ndarray, start: int, low: int, high: int) -> int:
+    def end(self, text: str, strong: list[list[int]], rolled: np.ndarray, marks: np.ndarray, start: int, low: int, high: int) -> int:
         """Where the piece ends: between ``low`` and ``high``, at the strongest kind of break found there."""
         low, high = max(low, start + 1), max(high, start + 1)
         for kind in (strong, 3, 4):
@@ -99,7 +105,8 @@ class Cutter:
             for m in marks[marks.searchsorted(low) : marks.searchsorted(high, "right")].tolist():
                 k = bisect_left(inside, m)
                 return min(inside[max(0, k - 1) : k + 1], key=lambda p: (abs(p - m), p))
-            return inside[-1]
+            # No landmark: the break of the least hash, which depends on the text around it alone.
+            return min(inside, key=lambda p: (int(rolled[p - 1]), -p))
         # No break between the bounds: the last one before them is still better than none.
         before = [p for kind in (strong, 3, 4) for p in _inside(text, kind, start + 1, low)[-1:]]
         return max(before) if before else high

@@ -1,11 +1,12 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from shelfmark.llm.pieces import Cutter, landmarks, pieces
+from shelfmark.llm.pieces import ONE_IN, WINDOW, Cutter, landmarks, pieces, rolling
 from shelfmark.llm.tokens import LEAF, TOKENIZER, Encoder, stable, texts_of, token_ids
 
 pytestmark = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="needs the public rank file")
@@ -66,6 +67,19 @@ def test_ids_of_rows(spark, small):
     assert token_ids(spark.createDataFrame(rows, "doc_id bigint, text string, ids int").limit(0)).count() == 0
 
 
+@given(st.text(st.sampled_from("ab中 \n"), max_size=90))
+def test_landmarks_hash_the_characters_before_them_and_no_others(text):
+    def is_mark(window):
+        total = 0
+        for k, c in enumerate(reversed(window)):
+            m = (ord(c) + 1) * 0x9E3779B97F4A7C15 % 2**64
+            total += (m ^ m >> 29) * (2 * k + 3)
+        total %= 2**64
+        return ((total ^ total >> 31) * 0xBF58476D1CE4E5B9 % 2**64 >> 40) % ONE_IN == 0
+
+    assert landmarks(rolling(text)).tolist() == [i + 1 for i in range(len(text)) if is_mark(text[max(0, i + 1 - WINDOW) : i + 1])]
+
+
 def check(text, cut, encoder, limit=512, overlap=64):
     assert "".join(text[s + o : e] for s, e, o, _, _ in cut) == text
     for k, (s, e, o, r, n) in enumerate(cut):
@@ -86,7 +100,8 @@ def test_pieces_hold_the_text_and_end_at_breaks():
         cut = Cutter(encoder).cut(text)
         check(text, cut, encoder)
         assert len(cut) > 1
-    text = prose(rnd, 600)
+    # Sentences are short enough that one ends between any bounds.
+    text = prose(rnd, 600).replace("，", "。")
     assert all(text[e - 1] in "。！\n" for _, e, *_ in Cutter(encoder).cut(text)[:-1])
 
 
@@ -104,10 +119,20 @@ def test_an_edit_alters_only_pieces_near_it():
     assert len(a) > 40 and len(a - b) <= 6
 
 
+def test_an_edit_moves_no_far_cut_without_landmarks(monkeypatch):
+    """Where no landmark falls, the cut still depends on the text around it alone."""
+    monkeypatch.setattr("shelfmark.llm.pieces.landmarks", lambda rolled: np.zeros(0, np.int64))
+    encoder = Encoder(open(TOKENIZER, "rb").read())
+    text = prose(random.Random(9), 3000)
+    parts = lambda t: {t[s + o : e] for s, e, o, _, _ in Cutter(encoder).cut(t)}
+    a, b = parts(text), parts(text[:9000] + "改动" + text[9000:])
+    assert len(a) > 40 and len(a - b) <= 8
+
+
 def test_rows_of_pieces(spark):
     rows = [(1, None, "k"), (2, "", "k"), (3, "short", "k"), (4, "A sentence here. " * 500, "k"), (4, "A sentence here. " * 500, "k")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, piece_no string")
     got = pieces(df).collect()
     assert {r.doc_id for r in got} == {3, 4} and [(r.piece_no, r.text, r.overlap_chars) for r in got if r.doc_id == 3] == [(1, "short", 0)]
     assert len({tuple(r) for r in got if r.doc_id == 4}) * 2 == len([r for r in got if r.doc_id == 4])
-    assert pieces(df.limit(0)).count() == 0 and landmarks("").size == 0
+    assert pieces(df.limit(0)).count() == 0 and landmarks(rolling("")).size == 0
