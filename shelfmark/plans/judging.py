@@ -17,7 +17,7 @@ from shelfmark.models import ModelConfig, generated, pair_score
 from shelfmark.operators import rerank as K
 from shelfmark.operators.report import best_judged, judge_summary, merge_judge_batches, rerank_table, restrict
 from shelfmark.plans.retrieval import aggregated, rounded
-from shelfmark.plans.runtime import table
+from shelfmark.plans.runtime import cut, table
 from shelfmark.sources.files import row_range
 
 
@@ -32,7 +32,9 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     lists = aggregated(spark, d).select(F.col("key").alias("query_id"), F.col("rank").alias("cand_rank"), "idx")
     labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), "label")
     # The smallest tables have vectors without a catalogue line.
-    return K.candidate_documents(lists.join(labels, "idx"), table(spark, d, "products"), strict=False).join(_names(spark, d), "query_id")
+    c = K.candidate_documents(lists.join(labels, "idx"), table(spark, d, "products"), strict=False).join(_names(spark, d), "query_id")
+    # Ten rows a query, read several times by what follows: the retrieval runs once.
+    return cut(c)
 
 
 def _match():
@@ -44,9 +46,8 @@ def _judge():
     return F.contains("document", "canonical_subcategory")
 
 
-def _by_encoder(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = _candidates(spark, d)
-    return c, K.rank_by_score(c.withColumn("score", pair_score(F.col("canonical_subcategory"), F.col("document"), ModelConfig("overlap"))))
+def _by_encoder(c: DataFrame) -> DataFrame:
+    return K.rank_by_score(c.withColumn("score", pair_score(F.col("canonical_subcategory"), F.col("document"), ModelConfig("overlap"))))
 
 
 def _prompts(c: DataFrame) -> DataFrame:
@@ -74,11 +75,12 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rerank_scores(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_by_encoder(spark, d)[1].select("query_id", "rank", "cand_rank", "idx", "score"))
+    return rounded(_by_encoder(_candidates(spark, d)).select("query_id", "rank", "cand_rank", "idx", "score"))
 
 
 def rerank_ratios(spark: SparkSession, d: str) -> DataFrame:
-    c, r = _by_encoder(spark, d)
+    c = _candidates(spark, d)
+    r = _by_encoder(c)
     return rounded(K.selection_ratios(r, c, _match()))
 
 
@@ -98,52 +100,55 @@ def decoded_answers(spark: SparkSession, d: str) -> DataFrame:
     return s.select("key", join("ranked_doc_ids"), join("filtered_doc_ids"), F.col("s.error").isNotNull().alias("failed"))
 
 
-def _both(spark: SparkSession, d: str, match=_match) -> DataFrame:
-    c, r = _by_encoder(spark, d)
-    return K.selection_ratios(r, c, match()).withColumn("method_name", F.lit("overlap_encoder")).unionByName(K.selection_ratios(_by_model(c), c, match()).withColumn("method_name", F.lit("language_model")))
+def _both(c: DataFrame, match=_match) -> DataFrame:
+    return K.selection_ratios(_by_encoder(c), c, match()).withColumn("method_name", F.lit("overlap_encoder")).unionByName(K.selection_ratios(_by_model(c), c, match()).withColumn("method_name", F.lit("language_model")))
 
 
-def judge_rows(spark: SparkSession, d: str) -> DataFrame:
+def _judge_rows(c: DataFrame) -> DataFrame:
     """The judge's rows of both methods, from two batches whose columns differ."""
-    rows = _both(spark, d, _judge).select("method_name", F.col("query_id").alias("subcategory"), F.col("top5_relevance_ratio").alias("top5_relevant_ratio_gpt"), F.col("filtered_irrelevant_ratio").alias("filtered_correct_ratio_gpt"))
+    rows = _both(c, _judge).select("method_name", F.col("query_id").alias("subcategory"), F.col("top5_relevance_ratio").alias("top5_relevant_ratio_gpt"), F.col("filtered_irrelevant_ratio").alias("filtered_correct_ratio_gpt"))
     early, late = rows.where("subcategory < 5"), rows.where("subcategory >= 5").withColumn("notes", F.concat(F.lit("label "), "subcategory"))
     return merge_judge_batches([early, late])
 
 
 def judged_rows(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(judge_rows(spark, d))
+    return rounded(_judge_rows(_candidates(spark, d)))
 
 
 def judged_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(judge_summary(judge_rows(spark, d)))
+    return rounded(judge_summary(_judge_rows(_candidates(spark, d))))
 
 
 def rerank_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(K.rerank_summary(_both(spark, d)))
+    return rounded(K.rerank_summary(_both(_candidates(spark, d))))
 
 
 def rerank_report(spark: SparkSession, d: str) -> DataFrame:
     """The table of both methods, by the labels and by a judge of its own mind."""
-    return rerank_table(rounded(K.rerank_summary(_both(spark, d))), rounded(judge_summary(judge_rows(spark, d))))
+    c = _candidates(spark, d)
+    return rerank_table(rounded(K.rerank_summary(_both(c))), rounded(judge_summary(_judge_rows(c))))
 
 
 def judged_best(spark: SparkSession, d: str) -> DataFrame:
-    best = best_judged(rounded(K.rerank_summary(_both(spark, d))), rounded(judge_summary(judge_rows(spark, d))).drop("case_count"))
+    c = _candidates(spark, d)
+    best = best_judged(rounded(K.rerank_summary(_both(c))), rounded(judge_summary(_judge_rows(c))).drop("case_count"))
     return best.select("method_name", "avg_top5_relevance_ratio", "avg_top5_relevant_ratio_gpt")
 
 
 def restricted_methods(spark: SparkSession, d: str) -> DataFrame:
     """Of the methods, those that an option names."""
-    return rounded(restrict(K.rerank_summary(_both(spark, d)), "method_name", " language_model, ,bge"))
+    return rounded(restrict(K.rerank_summary(_both(_candidates(spark, d))), "method_name", " language_model, ,bge"))
 
 
 def filtered_candidates(spark: SparkSession, d: str) -> DataFrame:
-    c, r = _by_encoder(spark, d)
+    c = _candidates(spark, d)
+    r = _by_encoder(c)
     return rounded(K.filtered_out(r, c).select("query_id", "cand_rank", "idx"))
 
 
 def rerank_case_rows(spark: SparkSession, d: str) -> DataFrame:
-    c, r = _by_encoder(spark, d)
+    c = _candidates(spark, d)
+    r = _by_encoder(c)
     rows = K.case_rows(r, c)
     join = lambda x: F.array_join(F.col(x).cast("array<string>"), ",").alias(x)
     return rows.select("query_id", *[join(x) for x in ("top5_product_ids", "top5_indices", "top5_image_paths", "filtered_product_ids", "filtered_indices", "filtered_image_paths")])
