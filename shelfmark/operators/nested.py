@@ -8,10 +8,10 @@ emits one row per child with its parent.
 
 from __future__ import annotations
 
-import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,9 @@ ROWS = pa.schema([("record_id", pa.int64()), ("kind", pa.string()), ("seq", pa.i
 ROWS_DDL = "record_id bigint, kind string, seq bigint, parent_kind string, parent_seq bigint, name string"
 
 
+Value = tuple["StructuralIndex", int]
+
+
 class StructuralIndex:
     """Values of many JSON texts as spans.
 
@@ -40,6 +43,9 @@ class StructuralIndex:
     def __init__(self, texts: list[bytes]):
         sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         self.data = b"\n".join(texts) + b"\n"
+        self.known: dict[bytes, str] = {}
+        #: Of strings that hold JSON, the value they hold.
+        self.held: dict[int, Value] = {}
         buf = np.frombuffer(self.data, np.uint8)
         starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         ends = starts + sizes
@@ -157,12 +163,16 @@ class StructuralIndex:
 
     def _decode(self, a: int, b: int) -> str:
         raw = self.data[a:b]
-        if b"\\" in raw:
-            try:
-                return json.loads(b'"' + raw + b'"')
-            except ValueError:
-                pass
-        return raw.decode("utf-8", "replace")
+        # Keys and names come again and again within a batch.
+        if (text := self.known.get(raw)) is None:
+            text = raw.decode("utf-8", "replace")
+            if "\\" in text:
+                try:
+                    text = scanstring(text + '"', 0)[0]
+                except ValueError:
+                    pass
+            self.known[raw] = text
+        return text
 
     def key(self, n: int) -> str:
         return self._decode(self.key_start[n], self.key_end[n])
@@ -176,7 +186,6 @@ class StructuralIndex:
         return at[0] if at else b""
 
 
-Value = tuple[StructuralIndex, int]
 
 
 class Forest:
@@ -184,7 +193,6 @@ class Forest:
 
     def __init__(self, texts: list[bytes]):
         self.index = StructuralIndex(texts)
-        self.held: dict[tuple[int, int], Value] = {}
         level = self.index
         while True:
             inner = [n for n, k in enumerate(level.what) if k == '"' and level.first_byte(n) in _MAY_HOLD]
@@ -192,12 +200,12 @@ class Forest:
             if not decoded:
                 break
             below = StructuralIndex([t.encode("utf-8", "surrogatepass") for _, t in decoded])
-            self.held |= {(id(level), n): (below, r) for (n, _), r in zip(decoded, below.root, strict=True) if r >= 0}
+            level.held = {n: (below, r) for (n, _), r in zip(decoded, below.root, strict=True) if r >= 0}
             level = below
 
     def open(self, v: Value) -> Value:
-        while (held := self.held.get((id(v[0]), v[1]))) is not None:
-            v = held
+        while (inner := v[0].held.get(v[1])) is not None:
+            v = inner
         return v
 
     def blank(self, v: Value) -> bool:
@@ -208,6 +216,8 @@ class Forest:
 
     def members(self, v: Value) -> list[tuple[str, Value]]:
         ix, n = v
+        if not ix.held:
+            return [(ix.key(c), (ix, c)) for c in range(ix.lo[n], ix.hi[n])]
         return [(ix.key(c), self.open((ix, c))) for c in range(ix.lo[n], ix.hi[n])]
 
     def elements(self, v: Value) -> list[Value]:
