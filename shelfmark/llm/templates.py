@@ -36,8 +36,8 @@ _TABLE = re.compile(r"^\|.*\|$")
 _ITEMS = re.compile(r"\s*[|»>/·•]\s*")
 _SENTENCE = re.compile(r"[.,:;!?。，：；！？、]")
 
-LINES = pa.schema([("result_id", pa.int64()), ("line_no", pa.int64()), ("block", pa.int64()), ("place", pa.int8()), ("host", pa.int64()), ("article", pa.int64()), ("shape", pa.string()), ("part", pa.string()), ("items", pa.list_(pa.string()))])
-LINES_DDL = "result_id bigint, line_no bigint, block bigint, place tinyint, host bigint, article bigint, shape string, part string, items array<string>"
+LINES = pa.schema([("result_id", pa.int64()), ("line_no", pa.int64()), ("block", pa.int64()), ("place", pa.int8()), ("host", pa.int64()), ("article", pa.int64()), ("titled", pa.int64()), ("shape", pa.string()), ("part", pa.string()), ("items", pa.list_(pa.string()))])
+LINES_DDL = "result_id bigint, line_no bigint, block bigint, place tinyint, host bigint, article bigint, titled bigint, shape string, part string, items array<string>"
 #: Where a line stands: before the page's own heading, from it on, or on a page that doesn't show it.
 BEFORE, FROM, NOWHERE = 0, 1, 2
 #: Items a line needs to be a list of them, and their share that must be part of a template.
@@ -91,7 +91,7 @@ def own_heading(lines: list[str], title: str) -> int | None:
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in bounded(batches, 5, 1 << 20):
+    for b in bounded(batches, 6, 1 << 20):
         rows = []
         for r in b.to_pylist():
             text, title = r["reader_content_preview"], heading(r["title"] or "")
@@ -104,24 +104,30 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not raw.strip() or k == at:
                     block += 1
                 if k == at:
-                    rows.append((r["result_id"], k, -1, FROM, r["host"], r["article"], "", None, []))
+                    rows.append((r["result_id"], k, -1, FROM, r["host"], r["article"], r["titled"], "", None, []))
                 elif raw.strip():
                     place = (FROM if not title else NOWHERE) if at is None else FROM if k > at else BEFORE
-                    rows.append((r["result_id"], k, block, place, r["host"], r["article"], *shape(even(raw), r["name"])))
+                    rows.append((r["result_id"], k, block, place, r["host"], r["article"], r["titled"], *shape(even(raw), r["name"])))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), LINES, strict=True)], schema=LINES)
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """``result_id, name, host, article, title, reader_content_preview`` of the pages with a text; host and article as hashes."""
+    """``result_id, name, host, article, titled, title, reader_content_preview`` of the pages with a text; host, article and its title as hashes.
+
+    Titles are fewer than articles: a site that grows puts ever more articles under each. So an article is told by the title and
+    the longest line from there on, which its furniture, read again or not, seldom is.
+    """
     own = pages.where("reader_content_preview is not null").select(F.col("result_id").cast("bigint").alias("result_id"), host_of(F.col("url")).alias("name"), "title", "reader_content_preview")
     # A page without a title is told from others by its text.
     known = F.coalesce(F.nullif(F.lower(F.trim("title")), F.lit("")), "reader_content_preview")
-    return own.select("result_id", "name", F.xxhash64("name").alias("host"), F.xxhash64(known).alias("article"), "title", "reader_content_preview")
+    body = F.expr("substring(reader_content_preview, greatest(1, coalesce(instr(reader_content_preview, trim(title)), 1)))")
+    longest = F.array_max(F.transform(F.split(body, "\n"), lambda x: F.struct(F.length(x), x.alias("line"))))["line"]
+    return own.select("result_id", "name", F.xxhash64("name").alias("host"), F.xxhash64(known, F.btrim(longest, F.lit(" \t\r"))).alias("article"), F.xxhash64(known).alias("titled"), "title", "reader_content_preview")
 
 
 def page_lines(own: DataFrame) -> DataFrame:
-    """All lines: ``result_id, line_no, block, place, host, article`` and the hashes ``shape, part, items``.
+    """All lines: ``result_id, line_no, block, place, host, article, titled`` and the hashes ``shape, part, items``.
 
     The heading and rows of tables have a null ``shape``: they are never furniture.
     """
@@ -169,9 +175,9 @@ def article_lines(pages: DataFrame) -> DataFrame:
     lines = cut(page_lines(own))
     known = cut(template_elements(own, lines))
     rest = by_counts(lines.where(F.col("place") == NOWHERE), known).where(F.col("gone").isNull())
-    whole = rest.groupBy("result_id", "article").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("line_no", "shape")))["shape"]).alias("rest"))
+    whole = rest.groupBy("result_id", "titled").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("line_no", "shape")))["shape"]).alias("rest"))
     # Counted by rest before it is joined, so a robot check met everywhere isn't gathered in one task.
-    often = whole.select("rest", "article").distinct().groupBy("rest").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
+    often = whole.select("rest", "titled").distinct().groupBy("rest").agg(F.count("*").alias("n")).where(F.col("n") >= PAGES)
     empty = whole.join(often, "rest", "left_semi").select("result_id")
     left = by_counts(lines, known).where(F.col("gone").isNull() & (F.col("place") != BEFORE))
     return left.join(empty, "result_id", "left_anti").select("result_id", "line_no")
@@ -184,6 +190,6 @@ def by_counts(lines: DataFrame, known: DataFrame) -> DataFrame:
     met = elements.join(known, "element").where(F.col("voted") != F.array_contains("other", F.col("host"))).groupBy("result_id", "line_no").agg(F.count_if(F.col("item") == 0).alias("whole"), F.sum("item").alias("k"), F.max("n").alias("n"))
     # Of each page, at most as many numbers as it has lines.
     goes = met.where((F.col("whole") > 0) | (F.col("k") >= F.greatest(MOST * F.col("n"), F.lit(1)))).groupBy("result_id").agg(F.collect_set("line_no").alias("goes"))
-    own = lines.select("result_id", "line_no", "block", "place", "article", "shape").join(goes, "result_id", "left")
+    own = lines.select("result_id", "line_no", "block", "place", "titled", "shape").join(goes, "result_id", "left")
     so_far = Window.partitionBy("result_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     return own.withColumn("gone", F.max(F.when(F.array_contains("goes", F.col("line_no")), 1)).over(so_far)).drop("goes")

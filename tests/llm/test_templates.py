@@ -122,3 +122,13 @@ def test_no_host_decides_for_others(spark):
     for k, (_, u, _, text, *_) in enumerate(rows):
         goes = "Well made" if "large" in u else "Accept all"
         assert got[k] == {i for i, x in enumerate(text.split("\n")) if x and x != goes}, (u, text)
+
+
+def test_many_articles_under_few_titles(spark):
+    # An eighth of the articles has a verdict, so every title has one somewhere; one page is read again with other adverts.
+    pages = [(f"https://one.test/{w}", f"Title {'abcdefghijklm'[i % 13]}", f"Body of {w} in a line that is longer than others.\n\n" + ("Verdict\nGood.\n\n" if i % 8 == 0 else "")) for i, w in enumerate(WORDS)]
+    again = [(*pages[0][:2], pages[0][2] + f"Advert for {w}\n\n") for w in WORDS[:100]]
+    rows = numbered([(u, t, f"One | Two | Three\n# {t}\n\n{x}The same foot") for u, t, x in pages + again])
+    got = kept(spark, rows)
+    for k, u, _, text, *_ in rows:
+        assert got[k] == lines_but(text, {"One | Two | Three", "The same foot"}), text
