@@ -25,6 +25,8 @@ SHARE = 0.2
 #: Standard deviations beyond the share, or below half of it, at which a host's own count decides: article text that
 #: recurs stands on an eighth of the pages, so nearer counts come about by chance.
 CLEAR = 3.0
+#: Share of a host's pages below which an element strayed there: such a host has no vote. Its own count is then clear in any case.
+STRAY = 0.01
 #: Pages with other articles on which it must stand, and pages a host needs to be counted.
 PAGES, HOST_PAGES = 3, 5
 
@@ -153,7 +155,7 @@ def template_elements(own: DataFrame, lines: DataFrame, share: float = SHARE, pa
     clear = F.when((k >= pages) & (k >= share * n + beyond(share)), True).when(k < share / 2 * n - beyond(share / 2), False)
     small = n < pages / share
     counted = per_host.join(sized, "host").withColumns({"clear": clear, "small": small}).groupBy("element").agg(
-        F.sum("k").alias("k"), F.count("*").alias("hosts"), F.count_if(~F.col("small") & (k >= share * n)).alias("yes"),
+        F.sum("k").alias("k"), F.count_if(k >= STRAY * n).alias("hosts"), F.count_if(~F.col("small") & (k >= share * n)).alias("yes"),
         F.count_if("small").alias("together"), F.coalesce(F.sum(F.when(F.col("small"), k - least)), F.lit(0.0)).alias("over"),
         F.collect_list(F.when(F.col("clear"), F.col("host"))).alias("do"), F.collect_list(F.when(~F.col("clear"), F.col("host"))).alias("do_not"),
     )

@@ -132,3 +132,16 @@ def test_many_articles_under_few_titles(spark):
     got = kept(spark, rows)
     for k, u, _, text, *_ in rows:
         assert got[k] == lines_but(text, {"One | Two | Three", "The same foot"}), text
+
+
+def test_a_host_where_an_element_strayed_has_no_vote(spark):
+    # The foot of two hosts stands once on each of four large ones, as a page of another site; a host seen once shows it too.
+    large = [f"large{c}.test" for c in "abcd"]
+    pages = [p for h in ("one.test", "two.test") for p in plain_pages(h, 20)] + plain_pages("tail.test", 1)
+    for h in large:
+        own = plain_pages(h, 150, foot="")
+        pages += [*own[:-1], (*own[-1][:2], own[-1][2] + "\n\nThe same foot")]
+    rows = numbered(pages)
+    got = kept(spark, rows)
+    for k, u, _, text, *_ in rows:
+        assert got[k] == lines_but(text, {"The same foot"} if "large" not in u else ()), u
